@@ -53,6 +53,17 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tupl
     return merged.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"v{i}").alias(name) for i, name in enumerate(aggs)])
 
 
+def salted_join(rows: DataFrame, few: DataFrame, key: str, row_id: str, salts: int = 16) -> DataFrame:
+    """Left join of rows with few, one row per key, where a few keys hold most of rows.
+
+    Each row of few is repeated per salt, so a hot key's rows spread over `salts` tasks. Null keys match nothing. Columns of
+    few must not clash with those of rows, but for the key.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def _terms_of(service: Column, terms: Column) -> Column:
     """The keys one entry counts for: the day itself, its service key, each label term once."""
     pair = lambda field, term: F.struct(F.lit(field).alias("field"), term.alias("term"))
