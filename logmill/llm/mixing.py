@@ -72,8 +72,8 @@ class Mix:
             share, most = r["target_share"] or 0.0, r["max_repeats"] or 0
             tokens, n = (have[r["source"]]["tokens"], have[r["source"]]["n"]) if r["source"] in have else (0, 0)
             copies = min(float(most), share * total / tokens) if tokens else 0.0
-            plan.append((r["source"], share, most, n, tokens, bool(tokens * most < share * total), int(round(copies * PART))))
-        self.plan = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, n_docs bigint, tokens bigint, short boolean, parts bigint")
+            plan.append((r["source"], share, most, n, tokens, share * total, int(round(copies * PART))))
+        self.plan = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, n_docs bigint, tokens bigint, wanted double, parts bigint")
 
     def copies(self) -> DataFrame:
         """doc_id, source, tokens and copies (1 or more) of the documents in the mix."""
@@ -89,10 +89,13 @@ class Mix:
         return joined.withColumn("o", offset).withColumn("copies", crossed).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
     def report(self) -> DataFrame:
-        """Per source: target and actual share, tokens, copies, and short: it can't reach its share within max_repeats."""
+        """Per source: target and actual share, tokens, copies, and short: the mix has every document as often as max_repeats
+        allows, and yet fewer tokens than wanted."""
         got = self.copies().groupBy("source").agg(
             F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies")
         )
         out = self.plan.drop("parts").join(got, "source", "left").fillna(0, ["mixed_tokens", "n_copies", "most_copies"])
+        used_up = F.col("mixed_tokens") >= F.col("tokens") * F.col("max_repeats")
+        out = out.withColumn("short", used_up & (F.col("mixed_tokens") < F.col("wanted"))).drop("wanted")
         everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # a row per target
         return out.withColumn("actual_share", F.col("mixed_tokens") / F.nullif(everything, F.lit(0)))
