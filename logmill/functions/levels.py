@@ -19,7 +19,7 @@ WORDS = {
     FATAL: ("FATAL", "CRITICAL", "EMERGENCY", "PANIC"),
 }
 #: White space of any kind at either end.
-_ENDS = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
+_ENDS = r"^[\s\x{85}\p{Z}]++|(?<![\s\x{85}\p{Z}])[\s\x{85}\p{Z}]++$"
 
 
 def trim_space(text: Column) -> Column:

@@ -40,7 +40,7 @@ def entries_of(lines: DataFrame, kind: str, now_ns: int, service: str = "default
     if kind == "text":
         return text_entries(lines.select("value").filter("trim(value) <> ''"), now_ns, service)
     if kind == "syslog":
-        raw = F.regexp_replace("value", r"[\r\n]+$", "")
+        raw = F.regexp_replace("value", r"(?<![\r\n])[\r\n]++$", "")
         return parse_syslog(lines.select(raw.alias("raw"), F.lit(sender).alias("sender")), now_ns, compat)
     raise ValueError(kind)
 
