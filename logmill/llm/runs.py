@@ -19,14 +19,15 @@ BLOCK_ROWS = 500_000
 #: Stands for a filled-in value; every digit of the message has become part of one.
 VALUE = "0"
 
+# Each alternative begins at the start of a word and never gives back, so that long words take linear time.
 _CHARS = r"[\p{L}\p{N}_.:\-]"
 _VALUES = "|".join(
     (
         r'"[^"]*"', r"(?<![\p{L}\p{N}])'[^']*'", r"`[^`]*`",  # quoted text
-        r"[\p{L}\p{N}+.\-]+://[^\s,;)\]]*", r"[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_.\-]+",  # addresses
+        r"(?<![\p{L}\p{N}+.\-])[\p{L}\p{N}+.\-]++://[^\s,;)\]]*+", r"(?<![\p{L}\p{N}_.+\-])[\p{L}\p{N}_.+\-]++@[\p{L}\p{N}_.\-]++",  # addresses
         r"(?<![^\s=(\[,:])(?:[.~]{1,2}|[A-Za-z]:)?[/\\][^\s,;)\]]*",  # paths
-        rf"[\p{{L}}_.:\-]*+\p{{N}}{_CHARS}*+",  # numbers, and words with a digit
-        rf"(?<!{_CHARS}){_CHARS}*?(?<![\p{{L}}\p{{N}}])[0-9a-f]{{8,}}(?![\p{{L}}\p{{N}}]){_CHARS}*+",  # hexadecimal ids without a digit
+        rf"(?<![\p{{L}}_.:\-])[\p{{L}}_.:\-]*+\p{{N}}{_CHARS}*+",  # numbers, and words with a digit
+        rf"(?<!{_CHARS}){_CHARS}*?(?<![\p{{L}}\p{{N}}])[0-9a-f]{{8,}}+(?![\p{{L}}\p{{N}}]){_CHARS}*+",  # hexadecimal ids without a digit
     )
 )
 
@@ -38,7 +39,7 @@ def statement(message: Column) -> Column:
     """
     low = F.lower(message)
     masked = F.regexp_replace(F.when(low.startswith("{"), F.translate(low, '"', " ")).otherwise(low), _VALUES, VALUE)
-    return F.regexp_replace(F.regexp_replace(masked, r"[\s\p{Z}\p{C}]+", " "), r"^ |[\p{P}\p{S}\p{Z}]+$", "")
+    return F.regexp_replace(F.regexp_replace(masked, r"[\s\p{Z}\p{C}]+", " "), r"^ |(?<![\p{P}\p{S}\p{Z}])[\p{P}\p{S}\p{Z}]++$", "")
 
 
 def block_width(rows: DataFrame, service: str, ts: str, most: int = BLOCK_ROWS) -> int:
