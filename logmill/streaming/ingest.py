@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from logmill.functions.entries import int_div
 from logmill.functions.syslog import parse_syslog
-from logmill.schema import ENTRY, FIELDS
+from logmill.schema import FIELDS
 from logmill.sources.lines import decode_lines, text_entries
-from logmill.stats import velocity
 from logmill.store import LogStore, prepare
 
 #: Bits of an id that number the rows of a batch and partition; the batch comes above.
@@ -80,12 +80,5 @@ def close(query: StreamingQuery) -> None:
 
 def velocity_stream(entries: DataFrame, watermark: str = "10 seconds") -> DataFrame:
     """Entries of each second of event time as a stream: window start and n. Seconds older than the watermark are closed."""
-    ts = F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint"))
+    ts = F.timestamp_micros(int_div(F.col("ts_ns"), 1000))
     return entries.withColumn("ts", ts).withWatermark("ts", watermark).groupBy(F.window("ts", "1 second")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("second"), "n")
-
-
-def velocity_batch(entries: DataFrame) -> DataFrame:
-    return velocity(entries)
-
-
-EMPTY_SCHEMA = ENTRY
