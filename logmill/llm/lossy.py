@@ -35,6 +35,12 @@ class LossyCounter:
         self.rest: list[np.ndarray] = []
         self.waiting = 0
 
+    def _prune(self) -> None:
+        self._flush()
+        self.bucket += 1
+        keep = self.counts + self.under > self.bucket
+        self.keys, self.counts, self.under = self.keys[keep], self.counts[keep], self.under[keep]
+
     def add(self, values: np.ndarray) -> None:
         self.n += len(values)
         while len(values):
@@ -43,10 +49,7 @@ class LossyCounter:
             self.waiting += len(values[:room])
             values = values[room:]
             if self.waiting == self.width:
-                self._flush()
-                self.bucket += 1
-                keep = self.counts + self.under > self.bucket
-                self.keys, self.counts, self.under = self.keys[keep], self.counts[keep], self.under[keep]
+                self._prune()
 
     def _flush(self) -> None:
         """Count what waits into the entries; a new entry may have been missed in every earlier bucket."""
@@ -64,13 +67,16 @@ class LossyCounter:
         self.under = np.concatenate([self.under, np.full((~here).sum(), self.bucket)])[order]
 
     def summary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries, their counts and undercounts. After a first bucket, a begun one counts as a whole and is pruned too."""
+        if self.bucket and self.waiting:
+            self._prune()
         self._flush()
         return self.keys, self.counts, self.under
 
 
 def _summaries(epsilon: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = LossyCounter(epsilon)
+        counter = LossyCounter(epsilon / 2)  # a begun bucket that is pruned at the end costs as much again, at most
         total = 0
         for b in batches:
             h = b.column("h")
