@@ -15,7 +15,7 @@ from logmill.functions.levels import DEBUG, ERROR, INFO, WARN, trim_space
 
 _RFC3339 = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})$"
 _CLOCK = r"^(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
-_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _RFC5424 = r"^\d{1,2}\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(-|(?:\[(?:[^\]\\\"]|\\.|\"(?:[^\"\\]|\\.)*\")*\])+)(?:\s(.*))?$"
 
 
@@ -51,35 +51,45 @@ def _nanos(fraction: Column) -> Column:
     return F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("bigint")
 
 
+def is_rfc3339(text: Column) -> Column:
+    return text.rlike(_RFC3339)
+
+
 def rfc3339_ns(text: Column) -> Column:
-    """ns since the epoch of an RFC 3339 time, null if it is none; nine digits of the fraction count."""
-    get = lambda n: _part(text, _RFC3339, n)
-    stamp = F.concat(get(1), F.lit("-"), get(2), F.lit("-"), get(3), F.lit(" "), get(4), F.lit(":"), get(5), F.lit(":"), get(6))
-    seconds = F.unix_timestamp(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
-    zone = get(8)
-    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    ahead = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60
-    offset = F.when(zone == "Z", F.lit(0)).otherwise(sign * ahead)
-    return F.when(text.rlike(_RFC3339), (seconds - offset) * F.lit(1_000_000_000) + _nanos(get(7)))
+    """ns since the epoch of a text that is_rfc3339, null if there is no such day; nine digits of the fraction count.
+
+    What precedes the fraction has a fixed width, and so has a zone that isn't Z.
+    """
+    seconds = F.unix_timestamp(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    utc = text.endswith("Z")
+    zone = F.substring(text, -6, 6)
+    ahead = F.substring(zone, 2, 2).try_cast("bigint") * 3600 + F.substring(zone, 5, 2).try_cast("bigint") * 60
+    offset = F.when(utc, F.lit(0)).when(zone.startswith("-"), -ahead).otherwise(ahead)
+    fraction = F.substring(text, F.lit(21), F.length(text) - F.when(utc, F.lit(21)).otherwise(F.lit(26)))
+    return (seconds - offset) * F.lit(1_000_000_000) + _nanos(fraction)
+
+
+def month_number(word: Column) -> Column:
+    """1 to 12 for the English short name of a month in any case, 0 or null for anything else."""
+    return F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(word)).cast("int")
+
+
+def clock_parts(word: Column) -> Column:
+    """Hours, minutes, seconds and the fraction's digits, if any, of a clock time; null if it is none."""
+    return F.when(word.rlike(_CLOCK), F.split(word, "[:.,]"))
 
 
 def rfc3164_ns(month: Column, day: Column, clock: Column, year: int) -> Column:
-    """ns since the epoch of 'Mon D HH:MM:SS' in a given year, null if it is no such time.
+    """ns since the epoch of a month's number, a day and clock_parts in a given year, null if there is no such time.
 
     29 February of a year without one is 1 March.
     """
-    low = F.lower(month)
-    number = F.lit(None).cast("int")
-    for i in range(12):
-        number = F.when(low == _MONTHS[3 * i : 3 * i + 3].lower(), F.lit(i + 1)).otherwise(number)
-    days = F.when(day.rlike(r"^\d{1,2}$"), day.try_cast("int"))
-    first = F.make_date(F.lit(year), number, F.lit(1))
-    last = F.dayofmonth(F.last_day(first))
-    leap = (number == 2) & (days == 29)
-    hour, minute, second = (_part(clock, _CLOCK, n).try_cast("int") for n in (1, 2, 3))
-    fits = clock.rlike(_CLOCK) & (days >= 1) & ((days <= last) | leap) & (hour < 24) & (minute < 60) & (second < 60)
-    since = (F.datediff(first, F.lit("1970-01-01").cast("date")) + days - 1).cast("bigint") * 86_400 + hour * 3600 + minute * 60 + second
-    return F.when(fits, since * F.lit(1_000_000_000) + _nanos(_part(clock, _CLOCK, 4)))
+    get = lambda n: F.try_element_at(clock, F.lit(n)).try_cast("bigint")
+    first = F.make_date(F.lit(year), F.when(month > 0, month), F.lit(1))
+    last = F.when((month == 2), F.lit(29)).otherwise(F.dayofmonth(F.last_day(first)))
+    fits = (day >= 1) & (day <= last) & (get(1) < 24) & (get(2) < 60) & (get(3) < 60)
+    since = (F.datediff(first, F.lit("1970-01-01").cast("date")) + day - 1).cast("bigint") * 86_400 + get(1) * 3600 + get(2) * 60 + get(3)
+    return F.when(fits, since * F.lit(1_000_000_000) + _nanos(F.coalesce(F.try_element_at(clock, F.lit(4)), F.lit(""))))
 
 
 def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> DataFrame:
@@ -97,12 +107,17 @@ def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> Data
     word = lambda i: F.try_element_at("_w", F.lit(i + 1))
     tail = lambda i: F.array_join(F.slice("_w", i + 1, F.greatest(F.col("_n") - i, F.lit(0))), " ")
     long = F.col("_n") >= 4
-    df = df.withColumn("_b", F.when(long, rfc3164_ns(word(0), word(1), word(2), year)))
-    df = df.withColumn("_i", F.when(F.col("_b").isNull() & (F.col("_n") >= 1), rfc3339_ns(word(0))))
+    # One column a step: each is computed once, and the generated methods stay small enough to be compiled.
+    df = df.withColumn("_mon", F.when(long, month_number(word(0))))
+    df = df.withColumn("_day", F.when((F.col("_mon") > 0) & word(1).rlike(r"^\d{1,2}$"), word(1).try_cast("int")))
+    df = df.withColumn("_clock", F.when(F.col("_day").isNotNull(), clock_parts(word(2))))
+    df = df.withColumn("_b", F.when(F.col("_clock").isNotNull(), rfc3164_ns(F.col("_mon"), F.col("_day"), F.col("_clock"), year)))
+    df = df.withColumn("_iso", F.when(F.col("_b").isNull() & is_rfc3339(word(0)), word(0)))
+    df = df.withColumn("_i", F.when(F.col("_iso").isNotNull(), rfc3339_ns(F.col("_iso"))))
     bsd, iso = F.col("_b").isNotNull(), long & F.col("_i").isNotNull()
     short = (F.col("_n") < 4) & F.col("_i").isNotNull()
-    after = tail(4)
-    colon = F.locate(":", after)
+    df = df.withColumn("_a", F.when(F.col("_b").isNotNull(), tail(4))).withColumn("_c", F.locate(":", F.col("_a")))
+    after, colon = F.col("_a"), F.col("_c")
     service = (
         F.when(bsd & (colon > 0), trim_space(F.substring(after, F.lit(1), colon - 1)))
         .when(bsd, F.lit("system")).when(iso, word(2)).otherwise(F.lit("system"))
