@@ -1,77 +1,84 @@
 """Syslog over UDP and TCP as a streaming source: a datagram, or a line of a connection, is a frame.
 
-The listener runs in the driver and hands frames on in memory, so what it holds is lost with the driver. For delivery
-that survives it, let a relay write files and watch() them.
+The listener spools frames to files in a folder that the cluster shares, each file complete when it appears. The stream
+reads these files, so a frame can be read again after a failure; only what hasn't been spooled yet is lost with the
+listener.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import socketserver
 import threading
-from collections import deque
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 DATAGRAM_BYTES = 65_535
-#: Frames that wait at most; the oldest make room.
-MOST_WAITING = 1 << 20
 
 
-class FrameBuffer:
-    """Frames by number, kept until a stream has committed them."""
+class Spool:
+    """Writes frames to files, a file when enough frames or time have gathered."""
 
-    def __init__(self) -> None:
-        self.lock = threading.Lock()
-        self.first = 0
-        self.frames: deque[tuple[str, str]] = deque()
-        self.dropped = 0
+    def __init__(self, folder: str, frames: int = 10_000, seconds: float = 1.0):
+        self.folder, self.frames, self.seconds = folder, frames, seconds
+        os.makedirs(folder, exist_ok=True)
+        self._lock, self._rows, self._done = threading.Lock(), [], threading.Event()
+        threading.Thread(target=self._tick, daemon=True).start()
 
     def add(self, raw: str, sender: str) -> None:
-        with self.lock:
-            self.frames.append((raw, sender))
-            if len(self.frames) > MOST_WAITING:
-                self.frames.popleft()
-                self.first += 1
-                self.dropped += 1
-
-    def since(self, start: int, end: int | None = None) -> tuple[list[tuple[str, str]], int]:
-        with self.lock:
-            stop = self.first + len(self.frames) if end is None else end
-            rows = list(self.frames)[max(0, start - self.first) : max(0, stop - self.first)]
-            return rows, stop
-
-    def forget(self, end: int) -> None:
-        with self.lock:
-            while self.frames and self.first < end:
-                self.frames.popleft()
-                self.first += 1
+        with self._lock:
+            self._rows.append(json.dumps({"raw": raw, "sender": sender}))
+            full = len(self._rows) >= self.frames
+        if full:
+            self.flush()
+
+    def flush(self) -> None:
+        """Write what has gathered. A name with a leading dot is no input until it is renamed."""
+        with self._lock:
+            rows, self._rows = self._rows, []
+        if rows:
+            name = f"{uuid.uuid4().hex}.json"
+            with open(os.path.join(self.folder, "." + name), "w", encoding="utf-8") as f:
+                f.write("\n".join(rows) + "\n")
+                f.flush()
+                os.fsync(f.fileno())
+            os.rename(os.path.join(self.folder, "." + name), os.path.join(self.folder, name))
+
+    def _tick(self) -> None:
+        while not self._done.wait(self.seconds):
+            self.flush()
+
+    def close(self) -> None:
+        self._done.set()
+        self.flush()
 
 
 class SyslogListener:
-    """UDP and TCP sockets that fill a buffer. Port 0 takes any free port."""
+    """UDP and TCP sockets that fill a spool. Port 0 takes any free port."""
 
-    def __init__(self, host: str = "127.0.0.1", port: int = 5514):
-        self.buffer = buffer = FrameBuffer()
+    def __init__(self, folder: str, host: str = "127.0.0.1", port: int = 5514, frames: int = 10_000, seconds: float = 1.0):
+        self.spool = spool = Spool(folder, frames, seconds)
 
         class Udp(socketserver.BaseRequestHandler):
             def handle(self) -> None:
                 data = self.request[0][:DATAGRAM_BYTES]
                 if data:
-                    buffer.add(data.decode("utf-8", "replace"), self.client_address[0])
+                    spool.add(data.decode("utf-8", "replace"), self.client_address[0])
 
         class Tcp(socketserver.StreamRequestHandler):
             def handle(self) -> None:
                 for line in self.rfile:
                     text = line.decode("utf-8", "replace").rstrip("\r\n")
                     if text:
-                        buffer.add(text, self.client_address[0])
+                        spool.add(text, self.client_address[0])
 
         self.udp = socketserver.ThreadingUDPServer((host, port), Udp)
         self.udp.max_packet_size = DATAGRAM_BYTES
-        self.tcp = socketserver.ThreadingTCPServer((host, self.udp.server_address[1] if not port else port), Tcp)
-        self.udp.daemon_threads = self.tcp.daemon_threads = True
         self.port = self.udp.server_address[1]
+        self.tcp = socketserver.ThreadingTCPServer((host, self.port), Tcp)
+        self.udp.daemon_threads = self.tcp.daemon_threads = True
         for server in (self.udp, self.tcp):
             threading.Thread(target=server.serve_forever, daemon=True).start()
 
@@ -79,48 +86,10 @@ class SyslogListener:
         for server in (self.udp, self.tcp):
             server.shutdown()
             server.server_close()
+        self.spool.close()
 
 
-_LISTENERS: dict[int, SyslogListener] = {}
-
-
-class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.host, self.port = options.get("host", "127.0.0.1"), int(options.get("port", 5514))
-
-    def _buffer(self) -> FrameBuffer:
-        if self.port not in _LISTENERS:
-            _LISTENERS[self.port] = SyslogListener(self.host, self.port)
-        return _LISTENERS[self.port].buffer
-
-    def initialOffset(self) -> dict:
-        return {"frame": 0}
-
-    def read(self, start: dict):
-        rows, end = self._buffer().since(start["frame"])
-        return iter(rows), {"frame": max(end, start["frame"])}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._buffer().since(start["frame"], end["frame"])[0])
-
-    def commit(self, end: dict) -> None:
-        self._buffer().forget(end["frame"])
-
-
-class SyslogSource(DataSource):
-    """spark.readStream.format("logmill_syslog").option("port", ...): raw, sender."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "logmill_syslog"
-
-    def schema(self) -> str:
-        return "raw string, sender string"
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Reader(self.options)
-
-
-def listen(spark: SparkSession, host: str = "127.0.0.1", port: int = 5514) -> DataFrame:
-    spark.dataSource.register(SyslogSource)
-    return spark.readStream.format("logmill_syslog").option("host", host).option("port", str(port)).load()
+def spooled(spark: SparkSession, folder: str, most_files: int | None = None) -> DataFrame:
+    """The frames of a spool as a stream: raw, sender. most_files bounds what a trigger takes."""
+    reader = spark.readStream.schema("raw string, sender string")
+    return (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).json(folder)

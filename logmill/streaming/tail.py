@@ -56,13 +56,10 @@ class Hub:
                 self.dropped[name] += 1
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
-        """For ingest(also=...): passes a batch's entries on, in order of id, without holding the batch in the driver.
-
-        What exceeds every queue would be dropped by each anyway, and is counted instead of fetched.
-        """
+        """For ingest(also=...): passes a batch's entries on, in order of id, a partition of them in the driver at a time."""
         if not len(self):
             return
-        rows = batch.orderBy("id").limit(QUEUE_ROWS * 4)
+        rows = batch.orderBy("id")
         for r in rows.toLocalIterator():
             d = r.asDict(recursive=True)
             self.publish(d | {"level_name": NAMES[d["level"]] if d.get("level") in range(6) else NAMES[0]})

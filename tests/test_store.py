@@ -21,7 +21,7 @@ from logmill.sources.lines import decode_body, decode_lines, read_text
 from logmill.stats import file_stats, mean_savings
 from logmill.store import LogStore, assign_ids
 from logmill.streaming import ingest as streams
-from logmill.streaming.syslog_server import SyslogListener
+from logmill.streaming.syslog_server import SyslogListener, spooled
 from logmill.streaming.tail import Hub
 from tests.conftest import T0
 
@@ -272,21 +272,42 @@ def test_service_and_cli(spark, tmp_path):
     assert ws_frame("x" * 200)[:4] == b"\x81\x7e\x00\xc8" and ws_frame("a") == b"\x81\x01a"
 
 
-def test_syslog_listener():
+def test_websocket_tail(spark, tmp_path):
     import socket
     import time
 
-    listener = SyslogListener(port=0)
+    service = Service(LogStore(spark, str(tmp_path / "s")), now_ns=lambda: T0)
+    server = serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with socket.create_connection(server.server_address, timeout=20) as c:
+        c.sendall(b"GET /api/v1/tail HTTP/1.1\r\nHost: x\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Key: dGhlIHNhbXBsZSBub25jZQ==\r\n\r\n")
+        f = c.makefile("rb")
+        head = [x for x in iter(f.readline, b"\r\n")]
+        assert b"101" in head[0] and any(b"s3pPLMBiTxaQ9kYGzzhZRbK+xOo=" in x for x in head)  # the protocol's own example
+        for _ in range(100):
+            if len(service.hub):
+                break
+            time.sleep(0.05)
+        service.hub.publish({"id": 7, "ts_ns": T0, "level_name": "WARN", "service": "s", "message": "m", "labels": {"a": "b"}, "data": None})
+        _, n = f.read(2)
+        assert json.loads(f.read(n)) == {"id": 7, "timestamp": T0, "level": "WARN", "service": "s", "message": "m", "labels": {"a": "b"}}
+    server.shutdown()
+
+
+def test_syslog_listener(spark, tmp_path):
+    import socket
+    import time
+
+    folder = str(tmp_path / "spool")
+    listener = SyslogListener(folder, port=0, seconds=0.2)
     u = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-    u.sendto(b"<14>udp frame", ("127.0.0.1", listener.port))
+    u.sendto(b"<11>2024-01-01T00:00:00Z h app udp frame", ("127.0.0.1", listener.port))
     with socket.create_connection(("127.0.0.1", listener.port)) as t:
         t.sendall(b"<14>one\r\n\n<14>two\n")
-    for _ in range(50):
-        rows, end = listener.buffer.since(0)
-        if len(rows) == 3:
-            break
-        time.sleep(0.1)
-    assert sorted(r[0] for r in rows) == ["<14>one", "<14>two", "<14>udp frame"] and {r[1] for r in rows} == {"127.0.0.1"}
-    listener.buffer.forget(end)
-    assert listener.buffer.since(end) == ([], end)
+    time.sleep(1)
     listener.stop()
+    stream = parse_syslog(spooled(spark, folder), T0).writeStream.format("memory").queryName("frames").trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    got = spark.table("frames").collect()
+    assert sorted((r.service, r.level, r.message) for r in got) == [("app", 4, "udp frame"), ("system", 2, "one"), ("system", 2, "two")]
+    assert {r.labels["sender"] for r in got} == {"127.0.0.1"}
