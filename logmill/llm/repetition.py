@@ -53,14 +53,21 @@ def repeated_words(ids: np.ndarray, owner: np.ndarray, codes: np.ndarray, gram:
     return np.cumsum(edges)[:-1] > 0
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence that has any; end to end they are the text's words."""
+    return [w for s in _SENTENCE.split(text.lower()) if (w := words(s))] if text else []
+
+
 def sentence_shares(text: str) -> tuple[float, float]:
     """Shares of a text's letters in sentences said before, and in the most frequent sentence if that occurs three times."""
+    return _shares(sentences(text))
+
+
+def _shares(parts: list[list[str]]) -> tuple[float, float]:
     seen: dict[str, int] = defaultdict(int)
     total = again = 0
-    for s in _SENTENCE.split(text):
-        key = "".join(words(s))
-        if not key:
-            continue
+    for s in parts:
+        key = "".join(s)
         total += len(key)
         again += len(key) if seen[key] else 0
         seen[key] += 1
@@ -77,7 +84,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         n_words, share, said, top = [], [], [], []
         for first in range(0, len(texts), 256):
-            some = [words(t) for t in texts[first : first + 256]]
+            parts = [sentences(t) for t in texts[first : first + 256]]
+            some = [[x for s in p for x in s] for p in parts]
             lengths = np.array([len(w) for w in some])
             ids = np.fromiter((vocabulary[x] for w in some for x in w), np.int64, lengths.sum())
             if len(codes) < len(vocabulary):
@@ -86,14 +94,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = np.bincount(owner, repeated_words(ids, owner, codes), minlength=len(some)) if len(ids) else np.zeros(len(some))
             n_words += lengths.tolist()
             share += (again / np.maximum(1, lengths)).tolist()
+            for a, b in map(_shares, parts):
+                said.append(a)
+                top.append(b)
             if len(vocabulary) > 2_000_000:  # bounds the task's memory; numbers hold within a batch only
                 vocabulary.clear()
                 vocabulary.default_factory = count().__next__
-        for t, s in zip(texts, share):
-            # A text repeats sentences only where it repeats grams.
-            a, b = sentence_shares(t) if t and s >= 0.1 else (0.0, 0.0)
-            said.append(a)
-            top.append(b)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(n_words, pa.int64()), pa.array(share, pa.float64()), pa.array(said, pa.float64()), pa.array(top, pa.float64())], ["doc_id", "host", "n_words", "repeated", "said_before", "top_sentence"])
 
 

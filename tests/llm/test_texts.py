@@ -130,6 +130,21 @@ def test_sentences():
     assert sentence_shares("...") == (0.0, 0.0)
 
 
+def short_sentences(n, size, drawn, seed=7):
+    """A text of `drawn` sentences in random order, of n different ones of `size` words."""
+    rng = random.Random(seed)
+    own = [" ".join(rng.sample(WORDS, size)) for _ in range(n)]
+    return ". ".join(rng.choices(own, k=drawn)) + "."
+
+
+def test_sentences_count_where_no_ten_words_repeat(spark):
+    texts = [short_sentences(20, 4, 100), short_sentences(40, 8, 160), "A b. " * 2 + OTHER]
+    got = {r.doc_id: r for r in repetition(docs_of(spark, [{"text": t} for t in texts])).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].said_before, got[i].top_sentence) == sentence_shares(t)
+    assert got[0].said_before > 0.7 and got[1].said_before > 0.7 and got[2].said_before > 0
+
+
 def test_prior_shrinks_small_hosts(spark):
     hosts = spark.createDataFrame([(100, 2), (100, 4), (50, 40), (2, 2), (1, 1)], "n bigint, failed bigint")
     a, b = beta_prior(hosts)
