@@ -4,8 +4,9 @@
    items' sorted gram table. Pairs whose seeds cover too little of the item are out.
 2. Tiles: of each remaining pair, the longest match of unmarked words is marked, again and again, matches being found by
    their Karp-Rabin hashes of three words.
-3. Verdict: tiles that follow each other closely on both sides make up passages. The passages that keep the item's
-   order, weighed by their words, must cover enough of it. The tiling itself, order aside, tells of reordered copies.
+3. Verdict: matches that follow each other closely on both sides make up passages. The passages that keep the item's
+   order, weighed by their words, must cover enough of it. All matches can be used here, not the tiles alone, as these
+   would mix the copies of an item that a document holds twice. The tiling, order aside, tells of reordered copies.
 
 The items are a fixed set, small against the documents. They are sent to the tasks in blocks of bounded size.
 """
@@ -13,7 +14,8 @@ The items are a fixed set, small against the documents. They are sent to the tas
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +104,8 @@ class Items:
         return out
 
 
-def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in doc, place in item, words) of the marked matches, longest first, no word twice."""
+def matches(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest matches of `least` words or more: places in doc, places in item, words."""
     k = min(least, len(item))
     a, b = items.grams(doc, k), items.grams(item, k)
     order = np.argsort(b, kind="stable")
@@ -113,7 +115,7 @@ def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) ->
     count = hi - lo
     total = int(count.sum())
     if not total:
-        return []
+        return (np.empty(0, np.int64),) * 3
     i = np.repeat(np.arange(len(a)), count)
     j = order[np.repeat(lo, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
     # Seeds next to each other on one diagonal form a maximal match.
@@ -121,8 +123,13 @@ def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) ->
     i, j = i[by], j[by]
     new = np.append(True, (np.diff(i - j) != 0) | (np.diff(i) != 1))
     first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(i))) + k - 1
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(runs, i[first], j[first])]
+    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
+
+
+def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in doc, place in item, words) of the marked matches, longest first, no word twice."""
+    k = min(least, len(item))
+    heap = [(-int(n), int(x), int(y)) for x, y, n in zip(*matches(items, doc, item, least))]
     heapq.heapify(heap)
     in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
@@ -142,25 +149,53 @@ def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) ->
     return out
 
 
-def held(marked: list[tuple[int, int, int]], size: int) -> float:
-    """Share of an item's words in passages that keep its order. A word altered inside a passage counts as held."""
-    passages: list[list[int]] = []  # doc start, doc end, item start, item end, words
-    for x, y, n in sorted(marked):
-        best = None
-        for p in reversed(passages[-8:]):
-            gd, gi = x - p[1], y - p[3]
-            if 0 <= gd <= NEAR and 0 <= gi <= NEAR and (best is None or gd + gi < x - best[1] + y - best[3]):
-                best = p
-        if best:
-            best[1], best[3], best[4] = x + n, y + n, best[4] + n
-        else:
-            passages.append([x, x + n, y, y + n, n])
+def held(found: Iterable[tuple[int, int, int]], size: int) -> float:
+    """Share of an item's words in passages that keep its order. A word altered inside a passage counts as held.
+
+    found has matches (place in doc, place in item, words), which may overlap; where they do, the later one counts from
+    the earlier one's end. Of all ways to join them to passages and these to an order the best counts, so that no further
+    match, and so no further copy of the item, lowers the share.
+    """
     least = min(PASSAGE, size)
-    kept = sorted(p for p in passages if p[4] >= least)
-    top = [0] * len(kept)
-    for a, p in enumerate(kept):
-        top[a] = p[3] - p[2] + max((top[b] for b in range(a) if kept[b][1] <= p[0] and kept[b][3] <= p[2]), default=0)
-    return max(top, default=0) / size if size else 0.0
+    runs = sorted((x + n, y + n, x, y) for x, y, n in found)
+    ends = [r[0] for r in runs]
+    # States of each match: by the words of the passage that it ends, the most item words held till its end, less its item end.
+    states: list[dict[int, int]] = []
+    # The most item words held by passages that end at a place of the item or before, from each place in the document on.
+    since, tops = [-1], [[0] * (size + 1)]
+    for a, (de, ie, x, y) in enumerate(runs):
+        state: dict[int, int] = {}
+        n = de - x
+
+        def put(words: int, value: int) -> None:
+            words = min(least, words)
+            if value > state.get(words, -size - 1):
+                state[words] = value
+
+        at = bisect_right(since, x) - 1
+        for v in range(at, bisect_left(since, de)):  # passages that end inside the match leave it the words after them
+            s = max(0, since[v] - x)
+            top = tops[v]
+            put(n - s, top[y + s] - y - s)
+            for t in range(s + 1, n):
+                if top[y + t] > top[y + t - 1]:
+                    put(n - t, top[y + t] - y - t)
+        for b in range(bisect_left(ends, x - NEAR), a):
+            pd, pi = runs[b][:2]
+            s = max(0, pd - x, pi - y)
+            if s < n and x + s - pd <= NEAR and y + s - pi <= NEAR:
+                for words, value in states[b].items():
+                    put(words + n - s, value)
+        states.append(state)
+        if least in state and state[least] + ie > tops[-1][ie]:
+            total = state[least] + ie
+            top = tops[-1][:ie] + [max(total, z) for z in tops[-1][ie:]]
+            if since[-1] == de:
+                tops[-1] = top
+            else:
+                since.append(de)
+                tops.append(top)
+    return tops[-1][size] / size if size else 0.0
 
 
 SCHEMA = "doc bigint, item bigint, tiled double, held double"
@@ -177,7 +212,8 @@ def _scan(rows: list[tuple[int, str]]):
                 for d, i in items.candidates(docs):
                     w = items.words[i]
                     marked = tiles(items, docs[d], w)
-                    found.append((ids[first + d].as_py(), items.ids[i], sum(n for _, _, n in marked) / len(w), held(marked, len(w))))
+                    runs = [a.tolist() for a in matches(items, docs[d], w)]
+                    found.append((ids[first + d].as_py(), items.ids[i], sum(n for _, _, n in marked) / len(w), held(zip(*runs), len(w))))
             cols = list(zip(*found)) if found else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc", "item", "tiled", "held"])
 

@@ -102,6 +102,31 @@ def test_held_keeps_order():
     assert held([], 0) == 0.0
 
 
+def altered_copies(rng, n, share=0.1):
+    """Copies of ITEM, each with other words replaced by words of its own, with text between them."""
+    w = ITEM.split()
+    copies = [" ".join("zz" if rng.random() < share else x for x in w) for _ in range(n)]
+    return [f" {OTHER} ".join(copies[:k]) for k in range(1, n + 1)]
+
+
+def test_a_further_copy_never_lowers_held():
+    items = Items([(1, ITEM)])
+    w = items.words[0]
+    for seed in range(60):
+        shares = []
+        for text in altered_copies(random.Random(seed), 3):
+            doc = items.encode(text)
+            shares.append(held(zip(*(a.tolist() for a in leakage.matches(items, doc, w))), len(w)))
+            assert shares[-1] >= held(tiles(items, doc, w), len(w))
+        assert shares == sorted(shares) and shares[0] >= 0.55
+
+
+def test_copies_altered_differently_are_found(spark):
+    texts = [t for seed in range(40) for t in altered_copies(random.Random(seed), 3)]
+    got = leaked_items(docs_of(spark, [{"text": t} for t in texts]), spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
+    assert got.count() == len(texts)
+
+
 def test_repeated_share(spark):
     w = OTHER.split()
     first = " ".join(w[:100])
