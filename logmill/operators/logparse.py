@@ -201,6 +201,56 @@ def _tokens(line: str, spans: list[tuple[int, int]]) -> Iterator[str]:
             yield kind
 
 
+#: Characters from which key=value lines and JSON objects are read without charts; fewer than the parser's most_tokens.
+LONG = 1024
+_PAIR = re.compile(r"[^\W\d_]+=")
+_WORDS = frozenset({"w", "lvl", "mon", "T", "Z", *LETTERS, *("w_" + k for k in FIELD_NAMES)})
+_BARE = _WORDS | (_PUNCT - {"="}) | {"d1", "d2", "d4", "dn", "oth"}
+_STRINGS = frozenset({"j", *("j_" + k for k in FIELD_NAMES)})
+#: Names of the grammar for the values of known fields, and which values these may have in JSON objects.
+_PAIR_VALUES = {"w_ts": "TsValue", "w_lvl": "LvlValue", "w_comp": "CompValue", "w_msg": "MsgValue"}
+_MEMBER_VALUES = {"j_ts": ("JTs", _STRINGS | {"num"}), "j_lvl": ("JLvl", _STRINGS | {"num"}), "j_comp": ("JComp", _STRINGS), "j_msg": ("JMsg", _STRINGS), "j": ("", _STRINGS | {"num", "jw", "nested"})}
+
+
+def _long_pairs(kinds: list[str]) -> list[tuple[str, int, int]] | None:
+    """What the grammar's ``Pairs END`` captures of a line, in linear time; None if the line is no such one."""
+    found, at, end = [], 0, len(kinds)
+    while at + 2 < end and kinds[at] in _WORDS and kinds[at + 1] == "=":
+        till = at + 2
+        if kinds[till] == "qs":
+            till += 1
+        else:
+            while till < end and kinds[till] in _BARE:
+                till += 1
+        if till == at + 2:
+            return None
+        if kinds[at] in _PAIR_VALUES:
+            found.append((_PAIR_VALUES[kinds[at]], at + 2, till))
+        if till == end:
+            return found if any(f[0] == "TsValue" for f in found) else None
+        if kinds[till] != "sp":
+            return None
+        at = till + 1
+    return None
+
+
+def _long_members(kinds: list[str]) -> list[tuple[str, int, int]] | None:
+    """The same for ``'{' Members '}' END``."""
+    found, at, end = [], 1, len(kinds)
+    while at + 3 < end and kinds[at] in _MEMBER_VALUES and kinds[at + 1] == ":":
+        name, values = _MEMBER_VALUES[kinds[at]]
+        if kinds[at + 2] not in values:
+            return None
+        if name:
+            found.append((name, at + 2, at + 3))
+        if kinds[at + 3] == "}":
+            return found if at + 4 == end and any(f[0] == "JTs" for f in found) else None
+        if kinds[at + 3] != ",":
+            return None
+        at += 4
+    return None
+
+
 @lru_cache(20_000)
 def _day_us(y: int, m: int, d: int) -> int | None:
     try:
@@ -291,7 +341,13 @@ class LineParser:
             return None
         line = line.rstrip("\r\n")
         spans: list[tuple[int, int]] = []
-        best = self.parser.parse(_tokens(line, spans))
+        if len(line) > LONG and (line[0] == "{" or _PAIR.match(line)):
+            # No other rule begins so, and these two are regular: such lines need no charts.
+            kinds = list(_tokens(line, spans))
+            whole = _long_members(kinds) if line[0] == "{" else _long_pairs(kinds)
+            best = whole and (1.0, whole, len(kinds))
+        else:
+            best = self.parser.parse(_tokens(line, spans))
         if best is None or best[0] <= 0:
             return None
         _, found, n = best
@@ -376,7 +432,8 @@ def entries_of_lines(raw: DataFrame) -> DataFrame:
 
     Lines before a sender's first header belong to no entry. Lines with a null sender form one stream. Null or empty
     messages are continuations. Lines with a null id come first in their stream. Replayed rows count once. ts_us is null
-    where the header lacks the year and the line its arrival. A line of any length is parsed as a whole. Lines with equal
+    where the header lacks the year and the line its arrival. Key=value lines and JSON objects of any
+    length are parsed as a whole; any other header must end within 4,096 tokens, of a line of any length. Lines with equal
     ids are one line. An empty table gives no rows; further columns are not read.
     """
     return assemble(parse_lines(raw)).select("first_id", "n_lines", "ts_us", "level", "component", "message")

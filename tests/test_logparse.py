@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from logmill.operators import logparse
 from logmill.operators.earley import Grammar, Parser
 from logmill.operators.logparse import LineParser, assemble, entries_of_lines, parse_lines, parse_time
 from logmill.queries.tables import table
@@ -56,6 +57,35 @@ def test_long_lines_end_soon(line):
     LineParser()(line, T0)
 
 
+def test_long_structured_lines_are_whole():
+    p = LineParser()
+    blob = "aB3/+x9." * 5_000
+    pair, json_line = LINES[6], LINES[8]
+    assert p(pair[0] + " blob=" + blob, T0)[:4] == pair[1] and p(f"blob={blob} " + pair[0], T0)[:4] == pair[1]
+    assert p(pair[0] + "".join(f" k={i}" for i in range(50_000)), T0)[:4] == pair[1]
+    assert p(pair[0] + ' q="' + "x y " * 9_000 + '"' + " blob=" + blob, T0)[:4] == pair[1]
+    members = "".join(f', "k{i}": {v}' for i, v in enumerate(["1", '"x"', "null", "[1, 2]"] * 5_000))
+    assert p(json_line[0][:-1] + members + "}", T0)[:4] == json_line[1]
+    for bad in (pair[0] + " blob=" + blob + "=x", f"a={blob} b=1", pair[0] + f" blob={blob} ", pair[0] + f" blob={blob} x", pair[0] + f" blob={blob} k=", json_line[0][:-1] + members, "{" + members[2:] + "}", json_line[0][:-1] + members + "} x"):
+        assert p(bad, T0) is None
+
+
+def test_long_lines_are_as_short_ones(monkeypatch):
+    """Structured lines give the same without charts as with them."""
+    p, rng = LineParser(), random.Random(3)
+    lines = [x for x, _ in LINES if x.startswith(("time=", "{"))]
+    for _ in range(300):
+        line = rng.choice(lines)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(line))
+            line = line[:k] + rng.choice(['"', "=", " ", "x", ",", "}", "7", ""]) + line[k + 1 :]
+        if line.startswith(("time=", "{")):
+            want = p(line, T0)
+            monkeypatch.setattr(logparse, "LONG", 0)
+            assert p(line, T0) == want, line
+            monkeypatch.undo()
+
+
 def test_weights_choose_the_parse():
     g = Grammar("Line 0 = REST\nLine 1 = A REST\nLine 2 = B B END\nA = x | x x\nB = x")
     p = Parser(g, frozenset("AB"))
