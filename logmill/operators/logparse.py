@@ -57,6 +57,10 @@ Line 9   = '[' TsClf ']' sp '[' Comp ']' sp '[' Level ']' END
 Line 10  = ansi TsIso ansi sp ansi Gap? Level Gap? ansi sp Comp ':' sp REST
 Line 9   = ansi TsIso ansi sp ansi Gap? Level Gap? ansi sp Comp ':' END
 Line 8   = TsIso Gap Known Gap Comp ':' sp REST
+Line 8   = TsIso Gap '[' Known ']' Gap Comp ':' sp REST
+Line 8   = '[' TsIso ']' Gap '['? Known ']'? Gap Comp ':' sp REST
+Line 9   = TsIso Gap '[' Thread ']' Gap Known Gap Comp sp '-' sp REST
+Line 9   = TsIso Gap Known Gap Num sp '-' '-' '-' sp '[' Gap? Thread ']' sp Comp Gap? ':' sp REST
 Line 10  = TsDash sp Zone sp '[' Num ']' sp Comp sp Level ':' Gap REST
 Line 9   = TsDash sp Zone sp '[' Num ']' sp Comp sp Level ':' END
 Line 10  = TsDash sp '-' sp Comp sp '-' sp Level sp '-' sp REST
@@ -65,7 +69,8 @@ Line 10  = TsDash sp Level Gap '[' Thread ']' sp Comp sp '-' sp REST
 Line 9   = TsDash sp Level Gap '[' Thread ']' sp Comp sp '-' END
 Line 4   = TsIso Gap '['? Known ']'? Gap REST
 Line 3   = '[' TsIso ']' Gap '['? Known ']'? Gap REST
-Line 2   = TsIso Gap Junk Gap '['? Known ']'? ':'? Gap REST
+Line 2   = TsIso Gap Junk Gap Loud ':'? Gap REST
+Line 2   = '[' TsIso ']' Gap Junk Gap Loud ':'? Gap REST
 Line 10  = Pairs END
 Line 10  = '{' Members '}' END
 
@@ -74,7 +79,9 @@ Pairs = TsPair | Timeless sp TsPair | Pairs sp Pair | Pairs sp TsPair
 Timeless = Pair | Timeless sp Pair
 TsPair 1 = w_ts '=' TsValue
 Pair 1 = w_lvl '=' LvlValue | w_comp '=' CompValue | w_msg '=' MsgValue
-Pair = Word '=' Extra
+Pair = Key '=' | Key '=' Extra
+Key = KeyTok | Key KeyTok
+KeyTok = Word | Digits | '.' | '_' | '-' | '/' | '@' | ':' | '$' | '#'
 TsValue = Bare | qs
 LvlValue = Bare | qs
 CompValue = Bare | qs
@@ -83,18 +90,22 @@ Extra = Bare | qs
 Bare = BareTok | Bare BareTok
 BareTok = Word | Digits | '-' | '.' | ':' | '/' | '_' | '+' | '@' | ',' | '[' | ']' | '(' | ')' | '<' | '>' | '$' | '#' | '%' | '&' | '*' | ';' | '!' | '?' | '~' | '{' | '}' | '|' | oth
 
-# JSON objects; the lexer drops blanks there and takes a number, and an object or array inside, as one token.
+# JSON objects; the lexer drops blanks there and takes a number as one token.
 Members = TsMember | Others ',' TsMember | Members ',' Member | Members ',' TsMember
 Others = Member | Others ',' Member
 TsMember 1 = j_ts ':' JTs
 Member 1 = j_lvl ':' JLvl | j_comp ':' JComp | j_msg ':' JMsg
-Member = j ':' Value
+Member = Str ':' Value
 JTs = Str | num
 JLvl = Str | num
 JComp = Str
 JMsg = Str
 Str = j | j_ts | j_lvl | j_comp | j_msg
-Value = Str | num | jw | nested
+Value = Str | num | jw | Object | Array
+Object = '{' '}' | '{' Inner '}'
+Inner = Str ':' Value | Inner ',' Str ':' Value
+Array = '[' ']' | '[' Values ']'
+Values = Value | Values ',' Value
 
 TsIso 2 = d4 '-' d2 '-' d2 T Clock Frac? Offset?
 TsIso 2 = d4 '-' d2 '-' d2 sp Clock Frac? Offset?
@@ -113,12 +124,14 @@ Pri = d1 | d2 | dn
 Pid = '[' Num ']'
 Gap = sp | sps
 Letter = I | W | E | F | D | T | C | N | P
-Level 1 = lvl
+Level 1 = LVL | lvl
 Level = Letter
 Level -1 = Word
-Known 1 = lvl
+Known 1 = LVL | lvl
 Known = Letter
-Word = w | lvl | mon | T | Z | I | W | E | F | D | C | N | P | w_ts | w_lvl | w_comp | w_msg
+Loud 1 = LVL
+Loud = '[' Known ']'
+Word = w | LVL | lvl | mon | T | Z | I | W | E | F | D | C | N | P | w_ts | w_lvl | w_comp | w_msg
 Comp = CompTok | Comp CompTok
 CompTok = Word | Digits | '.' | '/' | '_' | '-' | '$' | '@' | '#'
 Host = Dense
@@ -132,18 +145,19 @@ Params = Param | Param Params
 Param = sp Dense '=' qs
 Thread = ThreadTok | Thread ThreadTok
 ThreadTok = Word | Digits | sp | '-' | '.' | ':' | '/' | '_' | '#' | '$' | '@'
-Junk -1 = Dense
-Junk -2 = Dense Gap Dense
-Junk -3 = Dense Gap Dense Gap Dense
+# Words before a level that must then be upper case or in brackets, as words of a message are level names too.
+Junk -1 = JunkWord
+Junk = Junk Gap JunkWord
+JunkWord = JunkTok | JunkWord JunkTok
+JunkTok = BareTok | '=' | qs
 """
 )
-CAPTURES = frozenset("Pri TsIso TsBsd TsGlog TsClf TsDash Letter Level Known Comp TsValue LvlValue CompValue MsgValue JTs JLvl JComp JMsg Junk".split())
+CAPTURES = frozenset("Pri TsIso TsBsd TsGlog TsClf TsDash Letter Level Known Loud Comp TsValue LvlValue CompValue MsgValue JTs JLvl JComp JMsg Junk".split())
 
 _LEXER = re.compile(
     r"""(?P<ansi>\x1b\[[0-9;]*[A-Za-z])|(?P<qs>"(?:[^"\\]|\\.)*")|(?P<dig>[0-9]+)|(?P<word>[^\W\d_]+|[^\W0-9_]+)|(?P<sp>[ \t ]+)|(?P<punct>.)""", re.S
 )
 _JSON_LEXER = re.compile(r"""\s*(?:(?P<qs>"(?:[^"\\]|\\.)*")|(?P<num>-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(?P<word>true|false|null)|(?P<punct>[^\s]))""", re.S)
-_JSON = json.JSONDecoder(strict=False)
 _PUNCT = frozenset("<>[]{}()-:./_+@,=$#%&*;!?~|")
 _DIGITS = {1: "d1", 2: "d2", 4: "d4"}
 
@@ -153,7 +167,7 @@ def _word_class(w: str) -> str:
     if w in LETTERS or w in ("T", "Z"):
         return w
     if w.upper() in ALIASES:
-        return "lvl"
+        return "LVL" if w in ALIASES else "lvl"
     if w in MONTHS:
         return "mon"
     return "w_" + FIELD_OF[w.lower()] if w.lower() in FIELD_OF else "w"
@@ -173,14 +187,6 @@ def _tokens(line: str, spans: list[tuple[int, int]]) -> Iterator[str]:
             m = match(line, at)
             at = m.end()
             kind, text = m.lastgroup, m[m.lastgroup]
-            if text in "{[" and spans:
-                try:
-                    _, at = _JSON.raw_decode(line, at - 1)
-                except (ValueError, RecursionError):
-                    return
-                spans.append((m.end() - 1, at))
-                yield "nested"
-                continue
             spans.append((at - len(text), at))
             yield _string_class(text) if kind == "qs" and len(text) < 24 else "j" if kind == "qs" else "num" if kind == "num" else "jw" if kind == "word" else text
         return
@@ -201,53 +207,93 @@ def _tokens(line: str, spans: list[tuple[int, int]]) -> Iterator[str]:
             yield kind
 
 
-#: Characters from which key=value lines and JSON objects are read without charts; fewer than the parser's most_tokens.
+#: Characters from which key=value lines and JSON objects, which no other rule can fit, are read without charts, for speed only.
 LONG = 1024
-_PAIR = re.compile(r"[^\W\d_]+=")
-_WORDS = frozenset({"w", "lvl", "mon", "T", "Z", *LETTERS, *("w_" + k for k in FIELD_NAMES)})
-_BARE = _WORDS | (_PUNCT - {"="}) | {"d1", "d2", "d4", "dn", "oth"}
+_PAIR = re.compile(r"[^\s=]+=")
+_WORDS = frozenset({"w", "LVL", "lvl", "mon", "T", "Z", *LETTERS, *("w_" + k for k in FIELD_NAMES)})
+_DIGIT_RUNS = frozenset({"d1", "d2", "d4", "dn"})
+_KEYS = _WORDS | _DIGIT_RUNS | frozenset("._-/@:$#")
+_BARE = _WORDS | _DIGIT_RUNS | (_PUNCT - {"="}) | {"oth"}
 _STRINGS = frozenset({"j", *("j_" + k for k in FIELD_NAMES)})
+_ATOMS = _STRINGS | {"num", "jw"}
 #: Names of the grammar for the values of known fields, and which values these may have in JSON objects.
 _PAIR_VALUES = {"w_ts": "TsValue", "w_lvl": "LvlValue", "w_comp": "CompValue", "w_msg": "MsgValue"}
-_MEMBER_VALUES = {"j_ts": ("JTs", _STRINGS | {"num"}), "j_lvl": ("JLvl", _STRINGS | {"num"}), "j_comp": ("JComp", _STRINGS), "j_msg": ("JMsg", _STRINGS), "j": ("", _STRINGS | {"num", "jw", "nested"})}
+_MEMBER_VALUES = {"j_ts": ("JTs", _STRINGS | {"num"}), "j_lvl": ("JLvl", _STRINGS | {"num"}), "j_comp": ("JComp", _STRINGS), "j_msg": ("JMsg", _STRINGS)}
 
 
 def _long_pairs(kinds: list[str]) -> list[tuple[str, int, int]] | None:
     """What the grammar's ``Pairs END`` captures of a line, in linear time; None if the line is no such one."""
     found, at, end = [], 0, len(kinds)
-    while at + 2 < end and kinds[at] in _WORDS and kinds[at + 1] == "=":
-        till = at + 2
-        if kinds[till] == "qs":
+    while True:
+        key = at
+        while at < end and kinds[at] in _KEYS:
+            at += 1
+        if at == key or at == end or kinds[at] != "=":
+            return None
+        at += 1
+        till = at
+        if till < end and kinds[till] == "qs":
             till += 1
         else:
             while till < end and kinds[till] in _BARE:
                 till += 1
-        if till == at + 2:
-            return None
-        if kinds[at] in _PAIR_VALUES:
-            found.append((_PAIR_VALUES[kinds[at]], at + 2, till))
+        if at == key + 2 and kinds[key] in _PAIR_VALUES and till > at:
+            found.append((_PAIR_VALUES[kinds[key]], at, till))
         if till == end:
             return found if any(f[0] == "TsValue" for f in found) else None
         if kinds[till] != "sp":
             return None
         at = till + 1
-    return None
+
+
+def _long_value(kinds: list[str], at: int) -> int:
+    """The end of the JSON value that begins at a token, -1 if none does. kinds ends with an empty string."""
+    inside: list[str] = []
+    while True:
+        k = kinds[at]
+        at += 1
+        if k in ("{", "["):
+            if kinds[at] == ("}" if k == "{" else "]"):
+                at += 1
+            else:
+                inside.append(k)
+                if k == "{":
+                    if kinds[at] not in _STRINGS or kinds[at + 1] != ":":
+                        return -1
+                    at += 2
+                continue
+        elif k not in _ATOMS:
+            return -1
+        while inside and kinds[at] == ("}" if inside[-1] == "{" else "]"):
+            inside.pop()
+            at += 1
+        if not inside:
+            return at
+        if kinds[at] != ",":
+            return -1
+        at += 1
+        if inside[-1] == "{":
+            if kinds[at] not in _STRINGS or kinds[at + 1] != ":":
+                return -1
+            at += 2
 
 
 def _long_members(kinds: list[str]) -> list[tuple[str, int, int]] | None:
     """The same for ``'{' Members '}' END``."""
     found, at, end = [], 1, len(kinds)
-    while at + 3 < end and kinds[at] in _MEMBER_VALUES and kinds[at + 1] == ":":
-        name, values = _MEMBER_VALUES[kinds[at]]
-        if kinds[at + 2] not in values:
-            return None
-        if name:
+    kinds = [*kinds, "", ""]
+    while at + 3 < end and kinds[at] in _STRINGS and kinds[at + 1] == ":":
+        name, values = _MEMBER_VALUES.get(kinds[at], ("", ()))
+        if kinds[at + 2] in values:
             found.append((name, at + 2, at + 3))
-        if kinds[at + 3] == "}":
-            return found if at + 4 == end and any(f[0] == "JTs" for f in found) else None
-        if kinds[at + 3] != ",":
+        at = _long_value(kinds, at + 2)
+        if at < 0:
+            return None
+        if kinds[at] == "}":
+            return found if at + 1 == end and any(f[0] == "JTs" for f in found) else None
+        if kinds[at] != ",":
             return None
-        at += 4
+        at += 1
     return None
 
 
@@ -342,7 +388,7 @@ class LineParser:
         line = line.rstrip("\r\n")
         spans: list[tuple[int, int]] = []
         if len(line) > LONG and (line[0] == "{" or _PAIR.match(line)):
-            # No other rule begins so, and these two are regular: such lines need no charts.
+            # No other rule begins so, and these two need no charts.
             kinds = list(_tokens(line, spans))
             whole = _long_members(kinds) if line[0] == "{" else _long_pairs(kinds)
             best = whole and (1.0, whole, len(kinds))
@@ -359,8 +405,8 @@ class LineParser:
                 ts = text if ts is None else ts
             elif name == "Pri":
                 pri = int(text)
-            elif name in ("Level", "Known", "Letter", "LvlValue", "JLvl"):
-                level = _plain(text) if level is None else level
+            elif name in ("Level", "Known", "Loud", "Letter", "LvlValue", "JLvl"):
+                level = _plain(text).strip("[]") if level is None else level
             elif name in ("Comp", "CompValue", "JComp"):
                 comp = _plain(text) if comp is None else comp
             elif name in ("MsgValue", "JMsg"):
@@ -432,8 +478,7 @@ def entries_of_lines(raw: DataFrame) -> DataFrame:
 
     Lines before a sender's first header belong to no entry. Lines with a null sender form one stream. Null or empty
     messages are continuations. Lines with a null id come first in their stream. Replayed rows count once. ts_us is null
-    where the header lacks the year and the line its arrival. Key=value lines and JSON objects of any
-    length are parsed as a whole; any other header must end within 4,096 tokens, of a line of any length. Lines with equal
-    ids are one line. An empty table gives no rows; further columns are not read.
+    where the header lacks the year and the line its arrival. Lines and headers of any length are parsed as a whole. Lines
+    with equal ids are one line. An empty table gives no rows; further columns are not read.
     """
     return assemble(parse_lines(raw)).select("first_id", "n_lines", "ts_us", "level", "component", "message")

@@ -25,9 +25,19 @@ LINES = [
     ("2024-01-01 00:00:00.141 UTC [4836] net/relay EMERGENCY:  token refused", (US + 141_000, "FATAL", "net/relay", "token refused")),
     ("2024-01-01 00:00:00,307 - tile-press - CRIT - m - n", (US + 307_000, "INFO", "tile-press", "m - n")),
     ("2024-01-01 00:00:00,099 ERR   [pool-2-7] k.s.P - m", (US + 99_000, "ERROR", "k.s.P", "m")),
+    ('time=2024-01-01T00:00:00Z level=info trace_id=7 msg="two"', (US, "INFO", None, "two")),
+    ('request_id=ab-1 user.id=9 k1= err= ts=1704067200 lvl=warn svc=a.b http/code=200 msg=', (US, "WARN", "a.b", "")),
+    ('{"ts":1704067200,"level":null,"msg":"x","component":7,"a":{"b":[[],{},[{"c":null}]],"ts":"no"}}', (US, "UNKNOWN", None, "x")),
+    ("2024-01-01T00:00:00Z [main] INFO com.foo.Bar - hello", (US, "INFO", "com.foo.Bar", "hello")),
+    ("[2024-01-01 00:00:00] ERROR foo: bar", (US, "ERROR", "foo", "bar")),
+    ("2024-01-01 00:00:00 [WARN] foo.bar: a: b", (US, "WARN", "foo.bar", "a: b")),
+    ("2024-01-01T00:00:00.5Z  INFO 4711 --- [  main] c.e.App   : up", (US + 500_000, "INFO", "c.e.App", "up")),
+    ("2024-01-01 00:00:00 a b c INFO msg", (US, "INFO", None, "msg")),
+    ("2024-01-01 00:00:00 a b c d INFO msg ERROR", (US, "INFO", None, "msg ERROR")),
+    ("2024-01-01 00:00:00 (a=1, 'b') x y z <7> [warn] msg", (US, "WARN", None, "msg")),
 ]
 OTHER = ["", "   ", None, "}", '  "at": "2022-03-04T05:06:07Z",', '  "level": "warn",', "Traceback (most recent call last):", "\tat c.q.Unit23.run(Unit.java:359)", "unit starting",
-         "    00000000  92c0f4644ad45805 8cb7b60c9961937a", "c.q.err.EmptyFault: row 14315", "\twhere seen > '2021-05-06 07:08:09' and k = 4", '{"at": "x"}', "2024-13-45 99:99:99,000 - a - INFO - b",
+         "    00000000  92c0f4644ad45805 8cb7b60c9961937a", "c.q.err.EmptyFault: row 14315", "\twhere seen > '2021-05-06 07:08:09' and k = 4", '{"at": "x"}', "2024-13-45 99:99:99,000 - a - INFO - b", "2024-01-01 00:00:00 it went on to warn us of an error twice",
          "STATEMENT:  select n", "\x00\x01", '{"ts": "soon", "msg": "x"}', '{"ts": 1, "a": [1, 2', "<14>", "<99999>invalid pri format"]
 
 
@@ -46,6 +56,23 @@ def test_unparsed_words_are_told():
     assert got[1] == "ERROR" and got[3] == "boom" and got[4] == ["20-29"]
 
 
+def test_headers_have_no_bound():
+    """One of a thousand members, and one with more words than any table of charts before its level."""
+    p = LineParser()
+    for n in (3, 300, 30_000):
+        line = "2024-01-01 00:00:00 " + "word-1, " * n + "ERROR: boom"
+        assert p(line, T0)[:4] == (US, "ERROR", None, "boom")
+        assert p("<14>Jan  1 00:00:00 " + "h." * n + "x c" + "/d" * n + f"[{n}]: m", T0)[:4] == (US, "INFO", "c" + "/d" * n, "m")
+    assert p.parser.nodes < 3_000
+
+
+def test_brackets_are_matched_by_charts_too(monkeypatch):
+    monkeypatch.setattr(logparse, "LONG", 10**9)
+    p = LineParser()
+    line = '{"ts":1704067200,"a":' + "[" * 300 + '{"x":[1,{"level":"warn"}]}' + "]" * 300 + ',"level":"err"}'
+    assert p(line, T0)[:2] == (US, "ERROR") and p(line.replace("]]", "]", 1), T0) is None
+
+
 def test_year_of_arrival():
     assert parse_time("0229 00:00:00.0", T0) == 1_709_164_800_000_000
     assert parse_time("0229 00:00:00.0", T0 - 10**9) is None and parse_time("Jan  1 00:00:00", None) is None
@@ -64,23 +91,27 @@ def test_long_structured_lines_are_whole():
     assert p(pair[0] + " blob=" + blob, T0)[:4] == pair[1] and p(f"blob={blob} " + pair[0], T0)[:4] == pair[1]
     assert p(pair[0] + "".join(f" k={i}" for i in range(50_000)), T0)[:4] == pair[1]
     assert p(pair[0] + ' q="' + "x y " * 9_000 + '"' + " blob=" + blob, T0)[:4] == pair[1]
-    members = "".join(f', "k{i}": {v}' for i, v in enumerate(["1", '"x"', "null", "[1, 2]"] * 5_000))
+    members = "".join(f', "k{i}": {v}' for i, v in enumerate(["1", '"x"', "null", "[1, 2]", '{"a": [{}, {"b": []}]}'] * 4_000))
     assert p(json_line[0][:-1] + members + "}", T0)[:4] == json_line[1]
-    for bad in (pair[0] + " blob=" + blob + "=x", f"a={blob} b=1", pair[0] + f" blob={blob} ", pair[0] + f" blob={blob} x", pair[0] + f" blob={blob} k=", json_line[0][:-1] + members, "{" + members[2:] + "}", json_line[0][:-1] + members + "} x"):
+    deep = json_line[0][:-1] + ', "d": ' + "[" * 50_000 + "]" * 50_000 + "}"
+    assert p(deep, T0)[:4] == json_line[1] and p(deep.replace("]]", "]"), T0) is None
+    for bad in (pair[0] + " blob=" + blob + "=x", f"a={blob} b=1", pair[0] + f" blob={blob} ", pair[0] + f" blob={blob} x", pair[0] + f" blob={blob} =k", json_line[0][:-1] + members, "{" + members[2:] + "}", json_line[0][:-1] + members + "} x"):
         assert p(bad, T0) is None
 
 
 def test_long_lines_are_as_short_ones(monkeypatch):
-    """Structured lines give the same without charts as with them."""
-    p, rng = LineParser(), random.Random(3)
-    lines = [x for x, _ in LINES if x.startswith(("time=", "{"))]
-    for _ in range(300):
+    """Structured lines give the same without charts as with them, and charts the same whether kept or not."""
+    p, q, rng = LineParser(), LineParser(), random.Random(3)
+    q.parser.shared = 3
+    lines = [x for x, _ in LINES if x.startswith(("time=", "request", "{"))]
+    for _ in range(1500):
         line = rng.choice(lines)
         for _ in range(rng.randrange(3)):
             k = rng.randrange(len(line))
-            line = line[:k] + rng.choice(['"', "=", " ", "x", ",", "}", "7", ""]) + line[k + 1 :]
-        if line.startswith(("time=", "{")):
+            line = line[:k] + rng.choice(['"', "=", " ", "x", ",", "}", "7", "", "{", "[", "]", '[{"a":1}]', ":", "level", "_"]) + line[k + 1 :]
+        if logparse._PAIR.match(line) or line.startswith("{"):
             want = p(line, T0)
+            assert q(line, T0) == want
             monkeypatch.setattr(logparse, "LONG", 0)
             assert p(line, T0) == want, line
             monkeypatch.undo()
