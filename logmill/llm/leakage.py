@@ -1,12 +1,12 @@
 """Which documents contain which evaluation items, wholly or in part, by greedy string tiling.
 
-1. Seeds: three-word grams that a document shares with an item, found for a whole batch of documents at once through the
-   items' sorted gram table, and joined to matches. Pairs whose matches can't make up passages enough are out.
-2. Tiles: of each remaining pair, the longest match of unmarked words is marked, again and again, matches being found by
-   their Karp-Rabin hashes of three words.
-3. Verdict: matches that follow each other closely on both sides make up passages. The passages that keep the item's
-   order, weighed by their words, must cover enough of it. All matches can be used here, not the tiles alone, as these
-   would mix the copies of an item that a document holds twice. The tiling, order aside, tells of reordered copies.
+1. Seeds: three-word grams that a document shares with an item, found for a whole batch of documents at once by their
+   Karp-Rabin hashes in the items' sorted gram table, and joined to matches. Pairs whose matches can't make up passages
+   enough are out.
+2. Passages: matches that follow each other closely on both sides, in the item's order.
+3. Tiles: of the matches in passages of some length, the longest that isn't marked is marked, again and again. The
+   passages may come in any order; what the tiles cover of the item must be enough.
+4. Passages that keep the item's order among each other may be shorter. There the best choice of passages counts.
 
 The items are a fixed set, small against the documents. They are sent to the tasks in blocks of bounded size.
 """
@@ -28,13 +28,14 @@ from logmill.llm.words import words
 TILE = 3
 #: Words between two tiles of one passage, on either side.
 NEAR = 4
-#: Words of a passage; less is a clause or a set phrase.
-PASSAGE = 10
+#: Words of a passage among others that keep the item's order, and of one anywhere; less is a clause or a set phrase. Of
+#: short items a third, and half, are enough.
+PASSAGE, FREE_PASSAGE = 10, 14
 COVER = 0.55
 #: Share of an item's words that must stand unaltered in these passages. COVER with one word in ten altered keeps 0.48 on
 #: average in matches; set phrases filled in otherwise (up to 0.44 on the test documents) are no copy.
 KEPT = 0.45
-#: Seeds found at a time, at most, if several documents have them.
+#: Seeds held at a time, about: a document's words after these many are looked up in a further step.
 BATCH_SEEDS = 4_000_000
 #: Words of one block of items: what a task holds of them at a time.
 BLOCK_WORDS = 1_000_000
@@ -77,11 +78,9 @@ class Items:
         get = self.vocabulary.get
         return np.fromiter((get(x, 0) for x in w), np.int64, len(w))
 
-    def candidates(self, docs: list[np.ndarray], cover: float = COVER, tile: bool = False) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    def candidates(self, docs: list[np.ndarray], cover: float = COVER) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
         """Pairs (document, item) by their places that may hold `cover`, with the matches that passages of theirs can have.
 
-        With tile, also those whose matches cover as much in any order, these last in the list and without matches.
-
         Left out is only what can't count. The matches of a passage lie near each other, in the document and by diagonals, and
         have PASSAGE words. Each has k words at least and NEAR others before the next, so that of a passage more than
         k / (k + NEAR) is in matches.
@@ -98,25 +97,26 @@ class Items:
             h = self.grams(flat, k)[fit]
             lo = np.searchsorted(table, h)
             count = np.searchsorted(table, h, "right") - lo
-            total = int(count.sum())
-            if total > BATCH_SEEDS and len(docs) > 1:
-                half = len(docs) // 2
-                return self.candidates(docs[:half], cover, tile) + [(d + half, i, m) for d, i, m in self.candidates(docs[half:], cover, tile)]
-            x = np.repeat(fit, count)
-            y = places[np.repeat(lo, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
-            # Seeds next to each other on one diagonal form a match, from the one without a predecessor to the one without a successor.
-            begins, ends = (x == 0) | (flat[x - 1] != self.flat[y - 1]), flat[x + k] != self.flat[y + k]
-            last = x[ends][np.argsort((y - x)[ends], kind="stable")]
-            x, y = x[begins], y[begins]
-            order = np.argsort(y - x, kind="stable")
+            found = []
+            for a, b in _steps(count, BATCH_SEEDS):
+                c = count[a:b]
+                x = np.repeat(fit[a:b], c)
+                y = places[np.repeat(lo[a:b], c) + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)]
+                # Seeds next to each other on one diagonal form a match, from the one without a predecessor to the one without a successor.
+                begins, ends = (x == 0) | (flat[x - 1] != self.flat[y - 1]), flat[x + k] != self.flat[y + k]
+                found.append((x[begins], y[begins], x[ends], y[ends]))
+            if not found:
+                continue
+            x, y, last, z = (np.concatenate(f) for f in zip(*found))
+            last = last[np.lexsort((last, z - last))]
+            order = np.lexsort((x, y - x))
             x, y = x[order], y[order]
             n = last + k - x
             pair = owner[x] * len(self.words) + self.owner[y]
-            covered = self._covered(pair, y, n, cover) if tile else []
             order = np.lexsort((y - x, pair))
             x, y, n, pair = x[order], y[order], n[order], pair[order]
             near = np.cumsum((np.diff(pair, prepend=-1) != 0) | (np.diff(y - x, prepend=0) > NEAR))
-            least = np.minimum(PASSAGE, self.sizes)[pair % len(self.words)]
+            least = _least(self.sizes)[pair % len(self.words)]
             keep = np.flatnonzero(np.bincount(near, n)[near] >= least)
             keep = keep[np.lexsort((x[keep], near[keep]))]
             x, y, n, pair, near, least = (a[keep] for a in (x, y, n, pair, near, least))
@@ -133,48 +133,29 @@ class Items:
             for p, a, b in zip(pairs.tolist(), first, np.append(first[1:], len(pair))):
                 d, i = divmod(p, len(self.words))
                 out.append((d, i, list(zip((x[a:b] - starts[d]).tolist(), (y[a:b] - self.starts[i]).tolist(), n[a:b].tolist()))))
-            out += [(*divmod(p, len(self.words)), []) for p in covered]
         return out
 
-    def _covered(self, pair: np.ndarray, y: np.ndarray, n: np.ndarray, cover: float) -> list[int]:
-        """The pairs of whose item the matches cover that share."""
-        order = np.lexsort((y, pair))
-        pair, y, n = pair[order], y[order], n[order]
-        place = pair * (len(self.flat) + 1) + y
-        reach = np.maximum.accumulate(place + n)
-        new = reach - np.maximum(place, np.append(0, reach[:-1])[: len(place)])
-        pairs, at = np.unique(pair, return_inverse=True)
-        return pairs[np.bincount(at, new, minlength=len(pairs)) >= cover * self.sizes[pairs % len(self.words)]].tolist()
-
-
-def matches(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The longest matches of `least` words or more: places in doc, places in item, words."""
-    k = min(least, len(item))
-    a, b = items.grams(doc, k), items.grams(item, k)
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    if k:
-        hi = np.where(np.lib.stride_tricks.sliding_window_view(doc, k).min(axis=1) == 0, lo, hi) if len(doc) >= k else hi
-    count = hi - lo
-    total = int(count.sum())
-    if not total:
-        return (np.empty(0, np.int64),) * 3
-    i = np.repeat(np.arange(len(a)), count)
-    j = order[np.repeat(lo, count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
-    # Seeds next to each other on one diagonal form a maximal match.
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    new = np.append(True, (np.diff(i - j) != 0) | (np.diff(i) != 1))
-    first = np.flatnonzero(new)
-    return i[first], j[first], np.diff(np.append(first, len(i))) + k - 1
-
-
-def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in doc, place in item, words) of the marked matches, longest first, no word twice."""
-    k = min(least, len(item))
-    heap = [(-int(n), int(x), int(y)) for x, y, n in zip(*matches(items, doc, item, least))]
+
+def _steps(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of an array into stretches that add up to about `most`, or are one number."""
+    sums, at = np.cumsum(count), 0
+    while at < len(count):
+        till = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most, "right")))
+        yield at, till
+        at = till
+
+
+def _least(size, most: int = PASSAGE, part: int = 3):
+    """Words of the shortest passage of items of some sizes."""
+    return np.minimum(most, np.maximum(np.minimum(5, size), -(-size // part)))
+
+
+def tiles(found: Iterable[tuple[int, int, int]], doc_size: int, item_size: int, least: int = TILE) -> list[tuple[int, int, int]]:
+    """Greedy string tiling over matches: (place in doc, place in item, words) of the marked ones, longest first, no word twice."""
+    k = min(least, item_size)
+    heap = [(-n, x, y) for x, y, n in found]
     heapq.heapify(heap)
-    in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    in_doc, in_item = np.zeros(doc_size, bool), np.zeros(item_size, bool)
     out = []
     while heap:
         n, x, y = heapq.heappop(heap)
@@ -192,6 +173,46 @@ def tiles(items: Items, doc: np.ndarray, item: np.ndarray, least: int = TILE) ->
     return out
 
 
+def in_passages(found: Iterable[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """The matches that lie in a passage of at least `least` words in matches."""
+    runs = sorted(found)
+    starts = [x for x, _, _ in runs]
+    widest = max((n for _, _, n in runs), default=0)
+    before: list[list[tuple[int, int]]] = []
+    most = []  # words of the longest passage that ends with a match
+    for a, (x, y, n) in enumerate(runs):
+        links = []
+        for b in range(bisect_left(starts, x - NEAR - widest), a):
+            px, py, pn = runs[b]
+            s = max(0, px + pn - x, py + pn - y)  # what both have counts for the first
+            if s < n and py < y and x + s - px - pn <= NEAR and y + s - py - pn <= NEAR:
+                links.append((b, n - s))
+        before.append(links)
+        most.append(max((most[b] + w for b, w in links), default=n))
+    best = most[:]  # words of the longest passage that a match is in
+    for a in range(len(runs) - 1, -1, -1):
+        for b, w in before[a]:
+            best[b] = max(best[b], most[b] + w + best[a] - most[a])
+    return [r for r, w in zip(runs, best) if w >= least]
+
+
+def tiled(found: Iterable[tuple[int, int, int]], size: int) -> tuple[float, float]:
+    """Shares of an item in tiles of passages in any order: with the words altered between them, and without.
+
+    Up to NEAR words of the item between two tiles count as altered, wherever the tiles are in the document, so that it
+    doesn't matter if they come from several copies.
+    """
+    runs = in_passages(found, int(_least(size, FREE_PASSAGE, 2)))
+    if not size or sum(n for _, _, n in runs) * (TILE + NEAR) < TILE * COVER * size:
+        return 0.0, 0.0
+    first = min(x for x, _, _ in runs)
+    marked = tiles([(x - first, y, n) for x, y, n in runs], max(x + n for x, _, n in runs) - first, size)
+    spans = sorted((y, y + n) for _, y, n in marked)
+    between = [b - a for (_, a), (b, _) in zip(spans, spans[1:])]
+    kept = sum(n for _, _, n in marked)
+    return (kept + sum(g for g in between if g <= NEAR)) / size, kept / size
+
+
 def held(found: Iterable[tuple[int, int, int]], size: int, altered: bool = True) -> float:
     """Share of an item's words in passages that keep its order. A word altered inside a passage counts as held, if altered.
 
@@ -199,7 +220,7 @@ def held(found: Iterable[tuple[int, int, int]], size: int, altered: bool = True)
     the earlier one's end. Of all ways to join them to passages and these to an order the best counts, so that no further
     match, and so no further copy of the item, lowers the share.
     """
-    least = min(PASSAGE, size)
+    least = int(_least(size))
     runs = sorted((x + n, y + n, x, y) for x, y, n in found)
     ends = [r[0] for r in runs]
     # States of each match: by the words of the passage that it ends, the most item words held till its end, less its item end if altered.
@@ -240,10 +261,10 @@ def held(found: Iterable[tuple[int, int, int]], size: int, altered: bool = True)
     return tops[-1][size] / size if size else 0.0
 
 
-SCHEMA = "doc bigint, item bigint, tiled double, held double, kept double"
+SCHEMA = "doc bigint, item bigint, tiled double, tiled_kept double, held double, held_kept double"
 
 
-def _scan(rows: list[tuple[int, str]], cover: float, tile: bool):
+def _scan(rows: list[tuple[int, str]], cover: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows)
         for batch in batches:
@@ -251,25 +272,19 @@ def _scan(rows: list[tuple[int, str]], cover: float, tile: bool):
             found = []
             for first in range(0, len(ids), 256):
                 docs = [items.encode(t) for t in texts.slice(first, 256).to_pylist()]
-                pairs: dict[tuple[int, int], list] = {}
-                for d, i, runs in items.candidates(docs, cover, tile):
-                    pairs.setdefault((d, i), [runs, None])
-                    if not runs:
-                        w = items.words[i]
-                        pairs[d, i][1] = sum(n for _, _, n in tiles(items, docs[d], w)) / len(w)
-                for (d, i), (runs, tiled) in pairs.items():
+                for d, i, runs in items.candidates(docs, cover):
                     size = len(items.words[i])
-                    found.append((ids[first + d].as_py(), items.ids[i], tiled, held(runs, size), held(runs, size, False)))
-            cols = list(zip(*found)) if found else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item", "tiled", "held", "kept"])
+                    found.append((ids[first + d].as_py(), items.ids[i], *tiled(runs, size), held(runs, size), held(runs, size, False)))
+            cols = list(zip(*found)) if found else [()] * 6
+            kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc", "item", "tiled", "tiled_kept", "held", "held_kept"])
 
     return run
 
 
-def tiled_pairs(documents: DataFrame, items: DataFrame, cover: float = COVER, tile: bool = True) -> DataFrame:
-    """Pairs that may reach `cover`: doc_id, item_id, tiled (share of the item's words in tiles; null without tile, or if the
-    matches don't cover so much), held (in its order) and kept (of these, unaltered).
+def tiled_pairs(documents: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
+    """Pairs that may reach `cover`: doc_id, item_id, tiled (share of the item in tiles of passages in any order), held (share
+    in passages in its order), and of both the share that is unaltered, tiled_kept and held_kept.
 
     Null or empty texts, of items or documents, match nothing. An item of fewer than five words must occur as one piece.
     Items alike in text are found alike. Texts of any length are read whole. Empty tables give no rows. A document listed
@@ -282,23 +297,23 @@ def tiled_pairs(documents: DataFrame, items: DataFrame, cover: float = COVER, ti
     out = None
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        found = docs.mapInArrow(_scan(rows, cover, tile), SCHEMA)
+        found = docs.mapInArrow(_scan(rows, cover), SCHEMA)
         out = found if out is None else out.unionAll(found)
-    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "tiled", "held", "kept")
+    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "tiled", "tiled_kept", "held", "held_kept")
 
 
-def _leaked(cover: float) -> Column:
-    return (F.col("held") >= cover) & (F.col("kept") >= cover * KEPT / COVER)
+def _leaked(cover: float, *kinds: str) -> Column:
+    """Whether a pair is a case by its tiles, or by passages in order."""
+    any_of = [(F.col(k) >= cover) & (F.col(f"{k}_kept") >= cover * KEPT / COVER) for k in kinds]
+    return any_of[0] if len(any_of) == 1 else any_of[0] | any_of[1]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
-    """The documents that hold at least `cover` of an item in its order: doc_id, item_id. Rules as for tiled_pairs."""
-    return tiled_pairs(documents, items, cover, False).filter(_leaked(cover)).select("doc_id", "item_id")
+    """The documents that hold at least `cover` of an item, in passages that keep its order: doc_id, item_id. Rules as for tiled_pairs."""
+    return tiled_pairs(documents, items, cover).filter(_leaked(cover, "tiled", "held")).select("doc_id", "item_id")
 
 
 def leak_report(documents: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
-    """Per leaked item: the number of documents that hold it in order, and of those that have its words reordered only, if only in bits of three words."""
-    pairs = tiled_pairs(documents, items, cover)
-    return pairs.groupBy("item_id").agg(
-        F.count_if(_leaked(cover)).alias("n_docs"), F.count_if(~_leaked(cover) & (F.col("tiled") >= cover)).alias("n_reordered")
-    ).filter("n_docs + n_reordered > 0")
+    """Per leaked item: the number of documents that hold it, and of those that have its passages in another order."""
+    pairs = tiled_pairs(documents, items, cover).filter(_leaked(cover, "tiled", "held"))
+    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~_leaked(cover, "held")).alias("n_reordered"))
