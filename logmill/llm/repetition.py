@@ -2,7 +2,7 @@
 
 Each document is measured against rules. Rule failures are added up per host, here the applicant. A host's rate of failure is
 shrunk towards the empirical beta prior of all hosts, so that a host of few documents isn't judged by chance, and the
-host's verdict is joined back to its documents.
+host's verdict is joined back to its documents, where it moves the share from which a document counts as repetitive.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from logmill.llm.words import words
 from logmill.operators.skew import salted_join
 from logmill.session import materialize
 
-#: A word is repeated if it lies in a run of this many words that the document had before. Claims' set wording is shorter.
+#: A word is repeated if it lies in a run of this many words that the document had before, or in a sentence it had before.
+#: The set wording of claims is no run of this length and no sentence by itself.
 GRAM = 10
 #: Share of repeated words from which a document is made up mainly of repetition.
 SHARE = 0.45
@@ -29,6 +30,9 @@ SHARE = 0.45
 SENTENCE_SHARE, TOP_SHARE = 0.40, 0.25
 #: A host's shrunk rate of failing documents from which it is a repetitive host.
 HOST_RATE = 0.5
+#: A measured share is off by about this much, as runs begin and end in mid-sentence. By so much, times the log odds of its
+#: host against those of all hosts, less is asked of a document; at most by HOST_MOST, either way.
+HOST_PART, HOST_MOST = 0.01, 0.03
 
 _SENTENCE = re.compile(r"[.!?;。！？；]+\s*|\n+")
 
@@ -58,22 +62,21 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for s in _SENTENCE.split(text.lower()) if (w := words(s))] if text else []
 
 
-def sentence_shares(text: str) -> tuple[float, float]:
-    """Shares of a text's letters in sentences said before, and in the most frequent sentence if that occurs three times."""
-    return _shares(sentences(text))
-
-
-def _shares(parts: list[list[str]]) -> tuple[float, float]:
+def sentence_shares(parts: list[list[str]]) -> tuple[float, float, list[bool]]:
+    """Shares of the letters of sentences in those said before, and in the most frequent one if that occurs three times; and
+    of each sentence whether it was said before."""
     seen: dict[str, int] = defaultdict(int)
     total = again = 0
+    said = []
     for s in parts:
         key = "".join(s)
         total += len(key)
         again += len(key) if seen[key] else 0
+        said.append(seen[key] > 0)
         seen[key] += 1
     if not total:
-        return 0.0, 0.0
-    return again / total, max((len(k) * n for k, n in seen.items() if n >= 3), default=0) / total
+        return 0.0, 0.0, said
+    return again / total, max((len(k) * n for k, n in seen.items() if n >= 3), default=0) / total, said
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +94,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(codes) < len(vocabulary):
                 codes = np.append(codes, rng.integers(1, 2**63, len(vocabulary) - len(codes), np.uint64) * np.uint64(2) + np.uint64(1))
             owner = np.repeat(np.arange(len(some)), lengths)
-            again = np.bincount(owner, repeated_words(ids, owner, codes), minlength=len(some)) if len(ids) else np.zeros(len(some))
+            shares = [sentence_shares(p) for p in parts]
+            before = np.fromiter((f for (*_, flags), p in zip(shares, parts) for f, s in zip(flags, p) for _ in s), bool, len(ids))
+            again = np.bincount(owner, before | repeated_words(ids, owner, codes), minlength=len(some)) if len(ids) else np.zeros(len(some))
             n_words += lengths.tolist()
             share += (again / np.maximum(1, lengths)).tolist()
-            for a, b in map(_shares, parts):
-                said.append(a)
-                top.append(b)
+            said += [a for a, _, _ in shares]
+            top += [b for _, b, _ in shares]
             if len(vocabulary) > 2_000_000:  # bounds the task's memory; numbers hold within a batch only
                 vocabulary.clear()
                 vocabulary.default_factory = count().__next__
@@ -124,11 +128,12 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 def repetition(documents: DataFrame, share: float = SHARE, host_rate: float = HOST_RATE) -> DataFrame:
     """Each document's shares and verdicts: doc_id, host, n_words, repeated, said_before, top_sentence, n_failed, host_docs,
-    host_failure, host_repetitive and repetitive.
+    host_failure, host_repetitive, needed and repetitive.
 
-    repeated is the share of words in runs of ten words that the document had before; case, digits and punctuation don't
-    matter. repetitive: repeated >= share. n_failed counts the rules that the document fails, host_failure is the host's
-    shrunk rate of failing documents. Documents without an applicant have no host verdict. A null or empty text has 0 words and
+    repeated is the share of words in runs of ten words, or in sentences, that the document had before; case, digits and
+    punctuation don't matter. n_failed counts the rules that the document fails, host_failure is the host's shrunk rate of
+    failing documents. needed is share, moved by the host's log odds (HOST_PART); repetitive: repeated >= needed. Documents
+    without an applicant have no host verdict, and share is needed of them. A null or empty text has 0 words and
     shares of 0. A text that occurs in several documents is no repetition. Texts of any length are read whole. An empty table
     gives no rows; further columns are not read.
     """
@@ -141,4 +146,7 @@ def repetition(documents: DataFrame, share: float = SHARE, host_rate: float = HO
     a, b = beta_prior(hosts)
     judged = hosts.select("host", F.col("n").alias("host_docs"), ((F.col("failed") + a) / (F.col("n") + a + b)).alias("host_failure"))
     out = salted_join(docs, judged, "host", "doc_id")
-    return out.withColumn("host_repetitive", F.col("host_failure") >= host_rate).withColumn("repetitive", F.col("repeated") >= share)
+    odds = F.ln(F.col("host_failure") / (1 - F.col("host_failure"))) - float(np.log(a / b))
+    moved = F.greatest(F.lit(-HOST_MOST), F.least(F.lit(HOST_MOST), HOST_PART * odds))
+    out = out.withColumn("host_repetitive", F.col("host_failure") >= host_rate).withColumn("needed", F.lit(share) - F.when(odds.isNotNull(), moved).otherwise(0.0))
+    return out.withColumn("repetitive", F.col("repeated") >= F.col("needed"))

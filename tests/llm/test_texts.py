@@ -6,7 +6,7 @@ import pytest
 from logmill.llm import leakage, mixing
 from logmill.llm.leakage import Items, held, in_passages, leak_report, leaked_items, tiled, tiles
 from logmill.llm.mixing import Mix, token_counts
-from logmill.llm.repetition import beta_prior, repeated_words, repetition, sentence_shares
+from logmill.llm.repetition import beta_prior, repeated_words, repetition, sentence_shares, sentences
 from logmill.llm.words import words
 from logmill.queries.tables import table
 from tests.conftest import SF
@@ -253,8 +253,8 @@ def test_repetition_between_documents_is_none():
 
 
 def test_sentences():
-    assert sentence_shares("A b. a B! c d.") == (pytest.approx(2 / 6), 0.0)
-    assert sentence_shares("...") == (0.0, 0.0)
+    assert sentence_shares(sentences("A b. a B! c d.")) == (pytest.approx(2 / 6), 0.0, [False, True, False])
+    assert sentence_shares(sentences("...")) == (0.0, 0.0, [])
 
 
 def short_sentences(n, size, drawn, seed=7):
@@ -268,8 +268,49 @@ def test_sentences_count_where_no_ten_words_repeat(spark):
     texts = [short_sentences(20, 4, 100), short_sentences(40, 8, 160), "A b. " * 2 + OTHER]
     got = {r.doc_id: r for r in repetition(docs_of(spark, [{"text": t} for t in texts])).collect()}
     for i, t in enumerate(texts):
-        assert (got[i].said_before, got[i].top_sentence) == sentence_shares(t)
+        assert (got[i].said_before, got[i].top_sentence) == sentence_shares(sentences(t))[:2]
     assert got[0].said_before > 0.7 and got[1].said_before > 0.7 and got[2].said_before > 0
+    assert got[0].repetitive and got[1].repetitive and not got[2].repetitive
+
+
+def test_set_sentence_between_new_words(spark):
+    text = "".join(f"{' '.join(WORDS[3 * k : 3 * k + 3])}. This is said again and again here. " for k in range(200))
+    r = repetition(docs_of(spark, [{"text": text}])).first()
+    assert r.repeated == pytest.approx(0.7, abs=0.01) and r.repetitive
+
+
+def brute_repeated(text, gram=10):
+    """Share of words in ten-word runs or sentences that the text had before, place by place."""
+    parts = sentences(text)
+    w = [x for p in parts for x in p]
+    marks, at = [False] * len(w), 0
+    for i in range(len(w) - gram + 1):
+        if any(w[j : j + gram] == w[i : i + gram] for j in range(i)):
+            marks[i : i + gram] = [True] * gram
+    for k, p in enumerate(parts):
+        if p in parts[:k]:
+            marks[at : at + len(p)] = [True] * len(p)
+        at += len(p)
+    return sum(marks) / max(1, len(w))
+
+
+def test_repeated_matches_brute_force(spark):
+    rng = random.Random(5)
+    texts = [short_sentences(rng.randrange(2, 12), rng.randrange(1, 14), rng.randrange(1, 15), seed) for seed in range(40)]
+    texts += [" ".join(rng.choice("ab") for _ in range(60)) for _ in range(5)]
+    got = {r.doc_id: r.repeated for r in repetition(docs_of(spark, [{"text": t} for t in texts])).collect()}
+    assert [got[i] for i in range(len(texts))] == [pytest.approx(brute_repeated(t)) for t in texts]
+
+
+def test_hosts_move_the_needed_share(spark):
+    """Near the threshold the host decides; far from it, or without a host, the document alone."""
+    w = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    part = lambda k: ". ".join([" ".join(w), " ".join(w[:k])])  # noqa: E731  repeats k words of 100 + k
+    rows = [{"text": part(80), "applicant": a} for a in ("spam", "odd")] + [{"text": part(80)}]  # 0.444
+    rows += [{"text": part(100), "applicant": "spam"} for _ in range(60)] + [{"text": part(20), "applicant": f"h{k % 9}"} for k in range(90)] + [{"text": part(20), "applicant": "spam"}]
+    got = {r.doc_id: r for r in repetition(docs_of(spark, rows)).collect()}
+    assert got[0].repetitive and not got[1].repetitive and not got[2].repetitive and got[2].needed == 0.45
+    assert 0.42 <= got[0].needed < 0.444 < got[1].needed and not got[len(rows) - 1].repetitive and got[5].repetitive
 
 
 def test_prior_shrinks_small_hosts(spark):
