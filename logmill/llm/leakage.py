@@ -261,6 +261,14 @@ def held(found: Iterable[tuple[int, int, int]], size: int, altered: bool = True)
     return tops[-1][size] / size if size else 0.0
 
 
+def _matched(found: Iterable[tuple[int, int, int]], size: int) -> int:
+    """Words of an item that any match has."""
+    marks = bytearray(size)
+    for _, y, n in found:
+        marks[y : y + n] = b"\1" * n
+    return sum(marks)
+
+
 SCHEMA = "doc bigint, item bigint, tiled double, tiled_kept double, held double, held_kept double"
 
 
@@ -274,6 +282,8 @@ def _scan(rows: list[tuple[int, str]], cover: float):
                 docs = [items.encode(t) for t in texts.slice(first, 256).to_pylist()]
                 for d, i, runs in items.candidates(docs, cover):
                     size = len(items.words[i])
+                    if _matched(runs, size) < cover * KEPT / COVER * size:
+                        continue  # too little of it stands unaltered
                     found.append((ids[first + d].as_py(), items.ids[i], *tiled(runs, size), held(runs, size), held(runs, size, False)))
             cols = list(zip(*found)) if found else [()] * 6
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
@@ -283,7 +293,7 @@ def _scan(rows: list[tuple[int, str]], cover: float):
 
 
 def tiled_pairs(documents: DataFrame, items: DataFrame, cover: float = COVER) -> DataFrame:
-    """Pairs that may reach `cover`: doc_id, item_id, tiled (share of the item in tiles of passages in any order), held (share
+    """Pairs that may reach `cover` and have enough of it unaltered: doc_id, item_id, tiled (share of the item in tiles of passages in any order), held (share
     in passages in its order), and of both the share that is unaltered, tiled_kept and held_kept.
 
     Null or empty texts, of items or documents, match nothing. An item of fewer than five words must occur as one piece.
