@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logmill.operators.late import combine, fates, late_cases, partials
+from logmill.operators.late import hourly, late_cases
 from logmill.operators.logparse import entries_of_lines, parse_lines
 from logmill.operators.skew import daily_keys, heavy_daily_keys
 from logmill.queries.tables import table
 
 
 def _hourly(spark, d):
-    out = combine(partials(fates(table(spark, d, "logs"))))
-    return out.select(F.col("period").alias("hour_ns"), "n_on_time", "n_corrects", "n_dropped", "n")
+    return hourly(table(spark, d, "logs")).select(F.col("period").alias("hour_ns"), "n_on_time", "n_corrects", "n_dropped", "n")
 
 
 def _layouts(spark, d):

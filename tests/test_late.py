@@ -1,7 +1,7 @@
 import random
 
 from logmill.functions.entries import HOUR_NS
-from logmill.operators.late import combine, fates, late_cases, partials
+from logmill.operators.late import arrivals, clocks, combine, fates, late_cases, partials
 from logmill.operators.prefix import carry_in
 from logmill.streaming.late import PeriodTable
 from tests.conftest import T0
@@ -44,20 +44,40 @@ def test_partials_merge_to_the_whole(logs):
 
 
 def test_empty(logs):
-    assert fates(logs([])).collect() == [] and late_cases(logs([{"id": 1, "ts_ns": None}])).collect() == []
+    assert fates(logs([])).collect() == [] and arrivals(logs([])).collect() == [] and late_cases(logs([{"id": 1, "ts_ns": None}])).collect() == []
+
+
+def test_clocks(logs):
+    parts = arrivals(logs([{"id": i, "ts_ns": T0 + t} for i, t in ((1, 5), (2, 9), (11, 3), (12, 4), (35, 20))]), batch=10)
+    assert {r.batch: (r.clock_before, r.clock_after) for r in clocks(parts).collect()} == {0: (None, T0 + 9), 1: (T0 + 9, T0 + 9), 3: (T0 + 9, T0 + 20)}
+    assert {r.batch: r.clock_before for r in clocks(parts, T0 + 10).collect()} == {0: T0 + 10, 1: T0 + 10, 3: T0 + 10}
 
 
 def test_incremental_merge_equals_one_pass(spark, logs, tmp_path):
+    """Records come again in their own batch and in later ones, batches run again, and parts are merged in between."""
     rows = [r for r in sample(300) if r["id"] is not None]
     rows = list({(r["id"]): r for r in rows}.values())
     rows.sort(key=lambda r: r["id"])
     table = PeriodTable(spark, str(tmp_path / "periods"))
-    for n, first in enumerate(range(0, len(rows), 100)):
-        table.merge(logs(rows[first : first + 100]), n)
-    table.merge(logs(rows[200:300]), 2)  # a batch that runs again takes its own place
+    rng = random.Random(9)
     key = lambda r: (r.period, r.n_on_time, r.n_corrects, r.n_dropped, r.n)
-    assert sorted(map(key, table.read().collect())) == sorted(map(key, combine(partials(fates(logs(rows)))).collect()))
-    assert table.refused().count() == sum(f == "dropped" for f in brute(rows).values())
+
+    def same(upto):
+        assert sorted(map(key, table.read().collect())) == sorted(map(key, combine(partials(fates(logs(rows[:upto])))).collect()))
+        assert sorted(r.id for r in table.refused().collect()) == sorted(i for i, f in brute(rows[:upto]).items() if f == "dropped")
+
+    for n, first in enumerate(range(0, 300, 60)):
+        again = rng.sample(rows[: first + 60], 25)  # of earlier batches, and of this one
+        for _ in range(1 + (n == 2)):  # a batch that runs again takes its own place
+            refused = table.merge(logs(rows[first : first + 60] + again + rows[first : first + 5]), n)
+        assert {r.id for r in refused.collect()} <= {r["id"] for r in rows[first : first + 60]}
+        same(first + 60)
+        if n in (1, 3):
+            table.compact(n)
+            same(first + 60)
+    assert table.merge(logs([]), 5).collect() == [] and table.merge(logs(rows[:50]), 6).collect() == []
+    same(300)
+    assert len(table._numbers("ids", "arrived")) == 4 and table._numbers("ids_merged", "upto") == [2]
 
 
 def test_carry_in(spark):
