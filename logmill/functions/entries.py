@@ -22,9 +22,14 @@ def valid_ts(ts: Column) -> Column:
     return (ts >= F.lit(TS_FIRST)) & (ts < F.lit(TS_END))
 
 
-def utc_day(ts: Column) -> Column:
-    """UTC day of ts_ns as yyyy-MM-dd."""
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), int_div(ts, DAY_NS).cast("int")), "yyyy-MM-dd")
+def utc_day_number(ts: Column) -> Column:
+    """UTC day of ts_ns, in days since the epoch."""
+    return int_div(ts, DAY_NS).cast("int")
+
+
+def day_name(day: Column) -> Column:
+    """A day since the epoch as yyyy-MM-dd."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
 
 
 def int_div(a: Column, b: int) -> Column:

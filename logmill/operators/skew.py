@@ -1,6 +1,7 @@
 """Per-key results when a handful of keys holds most rows: two-stage salted aggregation.
 
-Stage 0 finds the heavy keys with a mergeable frequent-items sketch of fixed size. Stage 1 aggregates by
+Stage 0 finds the heavy keys with a mergeable frequent-items sketch. Heavy is a key that may hold more than a fraction of a
+task's fair share of the rows, so the more tasks the finer the sketch, and what it misses is too light to hold one up. Stage 1 aggregates by
 key and salt, where a heavy key has many salts and every other key one. Stage 2 merges the partial results
 by key. The salt is derived from a row's own columns, so that a task that runs again gives the same rows.
 
@@ -14,20 +15,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.functions.entries import count_once, label_terms, service_key, utc_day, valid_ts
+from logmill.functions.entries import count_once, day_name, label_terms, service_key, utc_day_number, valid_ts
 from logmill.session import materialize
 
 #: How each partial result merges.
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def heavy_keys(df: DataFrame, key: Column, k: int = 1000, tracked: int = 16_384) -> list[str]:
-    """At most k key strings that a sketch of `tracked` counters, merged over all rows, finds most frequent.
+#: A key with this part of a task's fair share of rows is salted. Spark's sketch can name so many keys, with so many counters.
+FAIR_PART, MOST_KEYS, MOST_TRACKED = 4, 100_000, 1_000_000
 
-    The driver gets at most k strings, whatever the size of df. Null keys are passed over; an empty df gives none.
+
+def heavy_keys(df: DataFrame, key: Column, tasks: int | None = None) -> list:
+    """The keys that may hold more than 1 / (FAIR_PART tasks) of all rows; at most FAIR_PART tasks keys do.
+
+    Tasks are the session's shuffle partitions unless told otherwise. The driver gets at most FAIR_PART tasks values,
+    whatever the size of df; give it hashes. Null keys are passed over; an empty df gives none.
     """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = min(MOST_KEYS, max(1000, FAIR_PART * tasks))
     top = df.select(key.alias("k")).filter("k is not null").select(
-        F.expr(f"transform(approx_top_k(k, {k}, {tracked}), x -> x.item)").alias("top")
+        F.expr(f"transform(approx_top_k(k, {k}, {min(MOST_TRACKED, 16 * k)}), x -> x.item)").alias("top")
     )
     row = top.first()
     return list(row["top"] or []) if row else []
@@ -65,13 +73,9 @@ def salted_join(rows: DataFrame, few: DataFrame, key: str, row_id: str, salts: i
 
 
 def _terms_of(service: Column, terms: Column) -> Column:
-    """The keys one entry counts for: the day itself, its service key, each label term once."""
-    pair = lambda field, term: F.struct(F.lit(field).alias("field"), term.alias("term"))
-    return F.concat(
-        F.array(pair("", F.lit(""))),
-        F.when(service.isNotNull(), F.array(pair("service", service))).otherwise(F.array().cast("array<struct<field:string,term:string>>")),
-        F.transform(F.array_distinct(terms), lambda t: pair("label", t)),
-    )
+    """The keys one entry counts for, with a letter for their field: the day itself, its service key, each label term once."""
+    own = F.array(F.lit("d"), F.concat(F.lit("s"), service))
+    return F.concat(F.filter(own, lambda t: t.isNotNull()), F.transform(F.array_distinct(terms), lambda t: F.concat(F.lit("l"), t)))
 
 
 def daily_keys(logs: DataFrame, salts: int = 64) -> DataFrame:
@@ -82,19 +86,21 @@ def daily_keys(logs: DataFrame, salts: int = 64) -> DataFrame:
     an empty table gives no rows; further columns of logs are not read.
     """
     rows = logs.filter(valid_ts(F.col("ts_ns"))).select(
-        F.col("id").alias("i"), utc_day(F.col("ts_ns")).alias("d"), (F.col("level") >= 4).alias("e"), service_key(F.col("service")).alias("s"), label_terms(F.col("labels")).alias("l")
+        F.col("id").alias("i"), utc_day_number(F.col("ts_ns")).alias("d"), (F.col("level") >= 4).alias("e"), service_key(F.col("service")).alias("s"), label_terms(F.col("labels")).alias("l")
     )
-    exploded = lambda df: df.select("i", "d", "e", F.inline(_terms_of(F.col("s"), F.col("l"))))
-    key = F.concat_ws("\u0001", "d", "field", "term")
+    exploded = lambda df: df.select("i", "d", "e", F.explode(_terms_of(F.col("s"), F.col("l"))).alias("k"))
+    key = F.xxhash64("d", "k")
     hot = heavy_keys(exploded(rows), key)
     counts = materialize(salted_aggregate(
-        exploded(count_once(rows)), ["d", "field", "term"],
+        exploded(count_once(rows)), ["d", "k"],
         {"n": ("count", F.lit(1)), "n_error": ("sum", F.coalesce(F.col("e"), F.lit(False)).cast("bigint"))},
         salt_by=F.col("i"), heavy=key.isin(hot) if hot else F.lit(False), salts=salts,
     ))
     # A row per valid day: at most the 7,305 days of 2020 to 2039.
-    days = counts.filter("field = ''").select("d", F.col("n").alias("day_n"))
-    return counts.filter("field <> ''").join(F.broadcast(days), "d").select(F.col("d").alias("day"), "field", "term", "n", "n_error", "day_n")
+    days = counts.filter("k = 'd'").select("d", F.col("n").alias("day_n"))
+    keys = counts.filter("k <> 'd'").join(F.broadcast(days), "d")
+    field = F.when(F.col("k").startswith("s"), "service").otherwise("label")
+    return keys.select(day_name(F.col("d")).alias("day"), field.alias("field"), F.expr("substring(k, 2)").alias("term"), "n", "n_error", "day_n")
 
 
 def heavy_daily_keys(logs: DataFrame, share: float = 0.05) -> DataFrame:

@@ -42,13 +42,25 @@ def test_salts_change_nothing(spark):
     df = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
     aggs = {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}
     plain = df.groupBy("k").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    hot = heavy_keys(df, F.col("k").cast("string"), 2)
+    hot = heavy_keys(df, F.col("k").cast("string"))
     assert "0" in hot
     for heavy in (F.lit(False), F.lit(True), F.col("k").cast("string").isin(hot)):
         got = salted_aggregate(df, ["k"], aggs, F.col("id"), heavy, 8)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_every_key_that_could_hold_up_a_task_is_heavy(spark):
+    """Three hot keys on each of 600 days, and a tail: all of them are found, as 1,000 places wouldn't do."""
+    df = spark.range(600_000).select(F.when(F.col("id") % 4 > 0, F.concat_ws("-", F.col("id") % 3, F.floor(F.col("id") / 1000))).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("k"))
+    share = df.groupBy("k").count().filter(f"count > {600_000 / 4 / 600}").collect()
+    hot = set(heavy_keys(df, F.col("k"), tasks=600))
+    assert len(share) == 0 or {r.k for r in share} <= hot
+    hot = set(heavy_keys(df, F.col("k"), tasks=1000))
+    want = {r.k for r in df.groupBy("k").count().filter("count > 200").collect()}
+    assert len(want) == 1800 and want <= hot and len(hot) <= 4000
+    assert heavy_keys(df.limit(0), F.col("k")) == [] and heavy_keys(spark.range(3).select(F.lit(None).cast("string").alias("k")), F.col("k")) == []
+
+
 def test_heavy_group_is_spread(spark):
     df = spark.range(10_000).select(F.lit("hot").alias("k"), "id")
     rows = df.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("k", "salt").count().collect()
