@@ -16,14 +16,14 @@ def _hourly(spark, d):
 
 def _layouts(spark, d):
     """How many lines were headers, and of which level; a line that no header rule fits is one unparsed span."""
-    lines = parse_lines(table(spark, d, "raw_entries")).select("id", "head", "level", "unparsed").distinct()
+    lines = parse_lines(table(spark, d, "raw_entries", True)).select("id", "head", "level", "unparsed").distinct()
     return lines.groupBy("head", "level").agg(F.count(F.lit(1)).alias("n_lines"), F.count("unparsed").alias("n_unparsed"))
 
 
 QUERIES = {
     "p1_found": lambda s, d: heavy_daily_keys(table(s, d, "logs")),
     "p1_daily_keys": lambda s, d: daily_keys(table(s, d, "logs")).select("day", "field", "term", "n", "n_error", "day_n"),
-    "p2_found": lambda s, d: entries_of_lines(table(s, d, "raw_entries")),
+    "p2_found": lambda s, d: entries_of_lines(table(s, d, "raw_entries", True)),
     "p2_line_kinds": _layouts,
     "p6_found": lambda s, d: late_cases(table(s, d, "logs")),
     "p6_hourly": _hourly,

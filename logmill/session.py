@@ -17,10 +17,21 @@ def local_session(cpus: int | str = "*", name: str = "logmill", memory: str = "8
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # folders of frames no longer used are removed
         .getOrCreate()
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores, for plans that compute much for each row.
+
+    Only a scan of less than half as many partitions as there are cores is repartitioned, which few and small files give; all
+    others stay as they are. scan must be no more than a scan, since its partitions are planned here.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
