@@ -21,6 +21,8 @@ from logmill.session import materialize
 
 #: Undercount as a share of the rows.
 EPSILON = 2e-5
+#: Candidates that may be broadcast; more are joined as the optimizer sees fit.
+MOST_BROADCAST = 1_000_000
 
 
 class LossyCounter:
@@ -122,6 +124,7 @@ def frequent_values(logs: DataFrame, column: str, least: float, epsilon: float =
     candidates = lossy_counts(logs, column, epsilon, least)
     value = F.col(column)
     rows = logs.filter(value != "").select(F.col("id").alias("i"), value.alias("value"), F.xxhash64(value).alias("h"))
-    held = rows.join(F.broadcast(candidates), "h").distinct()
+    few = 1 / (least - epsilon) <= MOST_BROADCAST
+    held = rows.join(F.broadcast(candidates) if few else candidates, "h").distinct()
     exact = held.groupBy("value", "low", "high", "total").agg(F.count(F.lit(1)).alias("n"))
     return exact.filter(F.col("n") >= F.col("total") * F.lit(least)).select("value", "n", "low", "high", "total")

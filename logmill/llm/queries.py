@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logmill.llm.leakage import leak_report, leaked_items
-from logmill.llm.lossy import frequent_values
+from logmill.llm.lossy import EPSILON, frequent_values
 from logmill.llm.mixing import Mix
 from logmill.llm.repetition import repetition
 from logmill.llm.runs import collapse_runs
@@ -14,18 +14,20 @@ from logmill.queries.tables import table
 
 QUERIES = {
     "p3_found": lambda s, d: collapse_runs(table(s, d, "logs")),
+    "p3_same_text": lambda s, d: collapse_runs(table(s, d, "logs"), same=lambda message: message),
     "p4_found": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message")),
     "p4_counts": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message"), "n", "low", "high"),
+    "p4_intervals": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message"), "n", F.col("n").between(F.col("low"), F.col("high")).alias("holds"), (F.col("high") - F.col("low") <= EPSILON * F.col("total")).alias("narrow")),
     "p5_found": lambda s, d: entry_term_counts(table(s, d, "logs")).filter("mark is not null").select("field", "term", "mark"),
     "p5_terms": lambda s, d: entry_term_counts(table(s, d, "logs")),
-    "p7_found": lambda s, d: leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
-    "p7_items": lambda s, d: leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
-    "p8_found": lambda s, d: Mix(table(s, d, "documents"), table(s, d, "mix_targets")).report().filter("short").select("source"),
-    "p8_report": lambda s, d: Mix(table(s, d, "documents"), table(s, d, "mix_targets")).report(),
-    "p8_copies": lambda s, d: Mix(table(s, d, "documents"), table(s, d, "mix_targets")).copies(),
-    "p9_found": lambda s, d: repetition(table(s, d, "documents")).filter("repetitive").select("doc_id"),
-    "p9_repeated": lambda s, d: repetition(table(s, d, "documents")).select("doc_id", "n_words", "repeated", "said_before", "top_sentence"),
-    "p9_shares": lambda s, d: repetition(table(s, d, "documents")).select("doc_id", "n_words", "repeated", "said_before", "top_sentence", "n_failed", "host_failure", "host_repetitive", "needed", "repetitive"),
+    "p7_found": lambda s, d: leaked_items(table(s, d, "documents", True), table(s, d, "eval_items")),
+    "p7_items": lambda s, d: leak_report(table(s, d, "documents", True), table(s, d, "eval_items")),
+    "p8_found": lambda s, d: Mix(table(s, d, "documents", True), table(s, d, "mix_targets")).report().filter("short").select("source"),
+    "p8_report": lambda s, d: Mix(table(s, d, "documents", True), table(s, d, "mix_targets")).report(),
+    "p8_copies": lambda s, d: Mix(table(s, d, "documents", True), table(s, d, "mix_targets")).copies(),
+    "p9_found": lambda s, d: repetition(table(s, d, "documents", True)).filter("repetitive").select("doc_id"),
+    "p9_repeated": lambda s, d: repetition(table(s, d, "documents", True)).select("doc_id", "n_words", "repeated", "said_before", "top_sentence"),
+    "p9_shares": lambda s, d: repetition(table(s, d, "documents", True)).select("doc_id", "n_words", "repeated", "said_before", "top_sentence", "n_failed", "host_failure", "host_repetitive", "needed", "repetitive"),
 }
 
 _TERMS = """
@@ -64,6 +66,14 @@ WITH s AS (SELECT source, sum(length(text)) AS size FROM documents WHERE source
 """
 
 SQL = {
+    # The order, gaps and counts of runs; the masks of values have no like in SQL and are tested on their own.
+    "p3_same_text": """
+WITH once AS (SELECT DISTINCT id, ts_ns, lower(trim(service)) AS s, message FROM logs WHERE ts_ns >= 1577836800000000000 AND ts_ns < 2208988800000000000 AND service IS NOT NULL AND message <> ''),
+ b AS (SELECT *, CASE WHEN lag(message) OVER w = message AND ts_ns - lag(ts_ns) OVER w <= 300000000000 THEN 0 ELSE 1 END AS new FROM once WINDOW w AS (PARTITION BY s ORDER BY ts_ns, id)),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY ts_ns, id ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT s AS service, arg_min(id, (ts_ns, id)) AS first_id, count(*) AS n_entries, max(ts_ns) - min(ts_ns) AS duration_ns FROM k GROUP BY s, run HAVING count(*) >= 3""",
+    "p4_intervals": """WITH once AS (SELECT DISTINCT id, message FROM logs)
+SELECT message, count(*) AS n, true AS holds, true AS narrow FROM once WHERE message <> '' GROUP BY 1 HAVING count(*) >= 0.002 * (SELECT count(*) FROM once)""",
     "p4_found": "WITH once AS (SELECT DISTINCT id, message FROM logs) SELECT message FROM once WHERE message <> '' GROUP BY 1 HAVING count(*) >= 0.002 * (SELECT count(*) FROM once)",
     "p5_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p5_terms": _TERMS + "SELECT field, term, n, n_entries, mark FROM m",

@@ -9,6 +9,8 @@ touch the edge of a block are matched over blocks in a second step, which reads
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,19 @@ _VALUES = "|".join(
         rf"(?<!{_CHARS}){_CHARS}*?(?<![\p{{L}}\p{{N}}])[0-9a-f]{{8,}}+(?![\p{{L}}\p{{N}}]){_CHARS}*+",  # hexadecimal ids without a digit
     )
 )
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"\s*'
+_JSON_NAME = r'\s*"((?:[^"\\]|\\.)*+)"\s*:\s*'
 
 
 def statement(message: Column) -> Column:
     """The statement behind a message: lower case, values masked, blanks joined, marks at the end taken off.
 
-    JSON messages keep their strings, which are the names there. Null stays null; a message of marks alone gives ''.
+    JSON messages keep their names; their strings are values like any quoted text. Null stays null; a message of marks alone
+    gives ''.
     """
     low = F.lower(message)
-    masked = F.regexp_replace(F.when(low.startswith("{"), F.translate(low, '"', " ")).otherwise(low), _VALUES, VALUE)
+    named = F.regexp_replace(F.regexp_replace(low, _JSON_NAME, " $1: "), _JSON_STRING, VALUE)
+    masked = F.regexp_replace(F.when(low.startswith("{"), named).otherwise(low), _VALUES, VALUE)
     return F.regexp_replace(F.regexp_replace(masked, r"[\s\p{Z}\p{C}]+", " "), r"^ |(?<![\p{P}\p{S}\p{Z}])[\p{P}\p{S}\p{Z}]++$", "")
 
 
@@ -52,16 +58,16 @@ def block_width(rows: DataFrame, service: str, ts: str, most: int = BLOCK_ROWS)
     return max(1, HOUR_NS // per_hour) if per_hour > 1 else HOUR_NS * max(1, min(24, most // busiest))
 
 
-def collapse_runs(logs: DataFrame, least: int = 3, gap_ns: int = 300_000_000_000, width_ns: int | None = None) -> DataFrame:
+def collapse_runs(logs: DataFrame, least: int = 3, gap_ns: int = 300_000_000_000, width_ns: int | None = None, same: Callable[[Column], Column] = statement) -> DataFrame:
     """Maximal stretches of at least `least` consecutive entries of one statement: service, first_id, n_entries, duration_ns.
 
-    Entries of one service key are ordered by ts_ns, then id; neighbours in a stretch are at most gap_ns apart. Entries
+    Messages for which `same` gives the same are of one statement. Entries of one service key are ordered by ts_ns, then id; neighbours in a stretch are at most gap_ns apart. Entries
     without a valid ts_ns, a service or a non-empty message take no part, neither do they interrupt. Replayed rows count
     once. Rows with a null id take part and come first among equal times. Messages of any length are read whole. An empty
     table gives no rows; further columns are not read.
     """
     rows = logs.filter(valid_ts(F.col("ts_ns")) & F.col("service").isNotNull() & (F.col("message") != "")).select(
-        F.col("id").alias("i"), F.col("ts_ns").alias("t"), service_key(F.col("service")).alias("s"), F.xxhash64(statement(F.col("message"))).alias("m")
+        F.col("id").alias("i"), F.col("ts_ns").alias("t"), service_key(F.col("service")).alias("s"), F.xxhash64(same(F.col("message"))).alias("m")
     )
     if width_ns is None:
         slim = logs.filter(valid_ts(F.col("ts_ns")) & F.col("service").isNotNull()).select(service_key(F.col("service")).alias("s"), F.col("ts_ns").alias("t"))

@@ -21,6 +21,8 @@ from logmill.session import materialize
 
 #: Identifiers of one range, the length of the arrays that are summed.
 RANGE = 1 << 16
+#: Terms of a slice of the dictionary, which one task sorts; and slices, whose sizes are broadcast.
+SLICE_TERMS, MOST_SLICES = 200_000, 1 << 16
 #: Distinct terms after which a task closes a block, which bounds its memory.
 BLOCK_TERMS = 500_000
 
@@ -55,11 +57,13 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def _with_ids(terms: DataFrame, slices: int = 256) -> DataFrame:
+def _with_ids(terms: DataFrame, at_most: int) -> DataFrame:
     """Give each distinct term a dense integer identifier: its slice's offset plus its place in the slice.
 
-    Slices go by the terms' hash, so each holds about an equal number of them; only the sizes of the slices meet in one place.
+    Slices go by the terms' hash, so each holds about an equal number of them, SLICE_TERMS or less as there are at_most so many
+    terms; only the sizes of the slices meet in one place.
     """
+    slices = min(MOST_SLICES, max(1, -(-at_most // SLICE_TERMS)))
     cut = terms.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
     sizes = cut.groupBy("slice").count()  # at most `slices` rows
     offset = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +107,7 @@ def term_counts(records: DataFrame) -> DataFrame:
     """
     terms = F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull())
     blocks = materialize(records.select(terms.alias("terms")).mapInArrow(_count_blocks, "term string, n bigint, n_records bigint"))
-    dictionary = materialize(_with_ids(blocks.select("term").distinct()))
+    dictionary = materialize(_with_ids(blocks.select("term").distinct(), blocks.count()))
     coded = blocks.join(dictionary, "term").select("code", "n", "n_records")
     ranged = coded.withColumn("span", int_div(F.col("code"), RANGE))
     # Several tasks share a range's blocks; a second round adds up what they give.

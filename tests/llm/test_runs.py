@@ -17,9 +17,10 @@ SAME = [
     ["heartbeat", "Heartbeat", " heart" + "beat ", "heartbeat...", "HEARTBEAT!"],
     ["心跳正常", "心跳正常。"],
     ["stage a: ready\nstage b: ready", "stage a: ready stage b: ready"],
+    ['{"user":"bob","say" : "a \\"b\\" c","n":5}', '{"user": "Ann C", "say":"x","n":17} '],
 ]
 DIFFERENT = ["tick", "tock", "tick tock", "health check ok", "health check slow", "keepalive sent to all peers", "keepalive received from all peers", "mode strict", "mode lenient", "can't open it", "can't close it",
-             "status=gone", "status=late", '{"event":"probe","ok":true}', '{"event":"probe","ok":false}', "retrying_in_background", "read/write", "read/append"]
+             "status=gone", "status=late", '{"event":"probe","ok":true}', '{"event":"probe","ok":false}', '{"name":"probe","ok":true}', "retrying_in_background", "read/write", "read/append"]
 
 
 def test_statement(spark):
