@@ -18,13 +18,13 @@ WORDS = {
     ERROR: ("ERROR", "ERR"),
     FATAL: ("FATAL", "CRITICAL", "EMERGENCY", "PANIC"),
 }
-#: White space of any kind at either end.
-_ENDS = r"^[\s\x{85}\p{Z}]++|(?<![\s\x{85}\p{Z}])[\s\x{85}\p{Z}]++$"
+#: The characters that are white space, the blank first.
+SPACES = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(text: Column) -> Column:
     """Without white space at the ends, of any kind (trim alone knows blanks)."""
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def parse_level_name(word: str | None) -> int:
@@ -35,11 +35,8 @@ def parse_level_name(word: str | None) -> int:
 
 def parse_level(word: Column) -> Column:
     """Level code of a word, whatever its case and surrounding space; unknown words, empty ones and null give INFO."""
-    w = F.upper(trim_space(word))
-    out = None
-    for code, words in WORDS.items():
-        out = (F if out is None else out).when(w.isin(*words), F.lit(code))
-    return out.otherwise(F.lit(INFO)).cast("tinyint")
+    codes = F.create_map(*[F.lit(x) for code, words in WORDS.items() for w in words for x in (w, code)])
+    return F.coalesce(F.try_element_at(codes, F.upper(trim_space(word))), F.lit(INFO)).cast("tinyint")
 
 
 def level_name(level: Column) -> Column:

@@ -6,12 +6,13 @@ for the first word. Corrected mode reads such frames.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from calendar import monthrange
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmill.functions.levels import DEBUG, ERROR, INFO, WARN, trim_space
+from logmill.functions.levels import DEBUG, ERROR, INFO, SPACES, WARN, trim_space
 
 _RFC3339 = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})$"
 _CLOCK = r"^(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d+))?$"
@@ -44,11 +45,14 @@ def severity_level(pri: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of a frame, parted by any white space; no empty ones."""
-    return F.filter(F.split(text, r"[\s\x{85}\p{Z}]+"), lambda t: t != "")
+    # A pattern of one plain character is the only one that split doesn't compile for every row.
+    plain = F.when(text.rlike(r"[\t-\r\x{85}\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"), F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
+    # The lambda also ends the code-generated stage: as one, its method would be too long for the JVM to compile.
+    return F.filter(F.split(plain, " "), lambda t: t != "")
 
 
 def _nanos(fraction: Column) -> Column:
-    return F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("bigint")
+    return F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("bigint")  # of no digits, 0
 
 
 def is_rfc3339(text: Column) -> Column:
@@ -60,7 +64,7 @@ def rfc3339_ns(text: Column) -> Column:
 
     What precedes the fraction has a fixed width, and so has a zone that isn't Z.
     """
-    seconds = F.unix_timestamp(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    seconds = F.unix_seconds(F.concat(F.substring(text, 1, 19), F.lit("Z")).try_cast("timestamp"))
     utc = text.endswith("Z")
     zone = F.substring(text, -6, 6)
     ahead = F.substring(zone, 2, 2).try_cast("bigint") * 3600 + F.substring(zone, 5, 2).try_cast("bigint") * 60
@@ -74,22 +78,28 @@ def month_number(word: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(word)).cast("int")
 
 
-def clock_parts(word: Column) -> Column:
-    """Hours, minutes, seconds and the fraction's digits, if any, of a clock time; null if it is none."""
-    return F.when(word.rlike(_CLOCK), F.split(word, "[:.,]"))
+def clock_seconds(word: Column) -> Column:
+    """Seconds since midnight of a clock time, null if it is none."""
+    at = F.locate(":", word)
+    part = lambda start, n: F.substring(word, start, n).cast("bigint")
+    h, m, s = part(F.lit(1), at - 1), part(at + 1, F.lit(2)), part(at + 4, F.lit(2))
+    return F.when(word.rlike(_CLOCK) & (h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
 
-def rfc3164_ns(month: Column, day: Column, clock: Column, year: int) -> Column:
-    """ns since the epoch of a month's number, a day and clock_parts in a given year, null if there is no such time.
+def clock_nanos(word: Column) -> Column:
+    """The fraction of a clock time in ns, null if it has none."""
+    return F.when(F.locate(":", word) > 0, _nanos(F.substring(word, F.locate(":", word) + 7, F.lit(9))))
+
+
+def month_start(month: Column, day: Column, year: int) -> Column:
+    """Days since the epoch of the day before a month's first in a given year, null if the month has no such day.
 
     29 February of a year without one is 1 March.
     """
-    get = lambda n: F.try_element_at(clock, F.lit(n)).try_cast("bigint")
-    first = F.make_date(F.lit(year), F.when(month > 0, month), F.lit(1))
-    last = F.when((month == 2), F.lit(29)).otherwise(F.dayofmonth(F.last_day(first)))
-    fits = (day >= 1) & (day <= last) & (get(1) < 24) & (get(2) < 60) & (get(3) < 60)
-    since = (F.datediff(first, F.lit("1970-01-01").cast("date")) + day - 1).cast("bigint") * 86_400 + get(1) * 3600 + get(2) * 60 + get(3)
-    return F.when(fits, since * F.lit(1_000_000_000) + _nanos(F.coalesce(F.try_element_at(clock, F.lit(4)), F.lit(""))))
+    first = [date(year, m, 1).toordinal() - 719_164 for m in range(1, 13)]
+    last = [29 if m == 2 else monthrange(year, m)[1] for m in range(1, 13)]
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), month)
+    return F.when((month > 0) & (day >= 1) & (day <= of(last)), of(first).cast("bigint"))
 
 
 def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> DataFrame:
@@ -105,18 +115,21 @@ def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> Data
     rest, pri, _ = priority(F.col("_t"))
     df = df.withColumn("_r", rest).withColumn("_p", pri).withColumn("_w", tokens(F.col("_r"))).withColumn("_n", F.size("_w"))
     word = lambda i: F.try_element_at("_w", F.lit(i + 1))
-    tail = lambda i: F.array_join(F.slice("_w", i + 1, F.greatest(F.col("_n") - i, F.lit(0))), " ")
     long = F.col("_n") >= 4
     # One column a step: each is computed once, and the generated methods stay small enough to be compiled.
     df = df.withColumn("_mon", F.when(long, month_number(word(0))))
     df = df.withColumn("_day", F.when((F.col("_mon") > 0) & word(1).rlike(r"^\d{1,2}$"), word(1).try_cast("int")))
-    df = df.withColumn("_clock", F.when(F.col("_day").isNotNull(), clock_parts(word(2))))
-    df = df.withColumn("_b", F.when(F.col("_clock").isNotNull(), rfc3164_ns(F.col("_mon"), F.col("_day"), F.col("_clock"), year)))
+    df = df.withColumn("_first", F.when(F.col("_day").isNotNull(), month_start(F.col("_mon"), F.col("_day"), year)))
+    df = df.withColumn("_clock", F.when(F.col("_first").isNotNull(), clock_seconds(word(2))))
+    since = ((F.col("_first") + F.col("_day")) * 86_400 + F.col("_clock")) * F.lit(1_000_000_000) + F.coalesce(clock_nanos(word(2)), F.lit(0).cast("bigint"))
+    df = df.withColumn("_b", F.when(F.col("_clock").isNotNull(), since))
     df = df.withColumn("_iso", F.when(F.col("_b").isNull() & is_rfc3339(word(0)), word(0)))
     df = df.withColumn("_i", F.when(F.col("_iso").isNotNull(), rfc3339_ns(F.col("_iso"))))
     bsd, iso = F.col("_b").isNotNull(), long & F.col("_i").isNotNull()
     short = (F.col("_n") < 4) & F.col("_i").isNotNull()
-    df = df.withColumn("_a", F.when(F.col("_b").isNotNull(), tail(4))).withColumn("_c", F.locate(":", F.col("_a")))
+    df = df.withColumn("_s", F.when(bsd, 4).when(iso, 3).when(short & (F.col("_n") > 1), 1))  # words before the message
+    df = df.withColumn("_a", F.when(F.col("_s").isNotNull(), F.array_join(F.slice("_w", F.col("_s") + 1, F.greatest(F.col("_n") - F.col("_s"), F.lit(0))), " ")))
+    df = df.withColumn("_c", F.when(bsd, F.locate(":", F.col("_a"))))
     after, colon = F.col("_a"), F.col("_c")
     service = (
         F.when(bsd & (colon > 0), trim_space(F.substring(after, F.lit(1), colon - 1)))
@@ -124,9 +137,7 @@ def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> Data
     )
     message = (
         F.when(bsd & (colon > 0), trim_space(F.substring(after, colon + 1, F.length(after))))
-        .when(bsd, after)
-        .when(iso, tail(3))
-        .when(short & (F.col("_n") > 1), tail(1))
+        .when(F.col("_s").isNotNull(), after)
         .when(short, F.col("_t"))
         .otherwise(F.col("_r"))
     )

@@ -51,7 +51,7 @@ def _histogram(**changes):
 
 def _syslog(kind: str):
     def run(s, d):
-        got = parse_syslog(events_as_frames(table(s, d, "events"), kind), NOW)
+        got = parse_syslog(events_as_frames(table(s, d, "events", True), kind), NOW)
         label = lambda k: F.element_at("labels", F.lit(k)).alias(k)
         return got.select("id", "ts_ns", "level", "service", "message", label("host"), label("facility"), label("sender"))
 
@@ -76,7 +76,7 @@ def _tokens(s, d):
 
 
 def _ndjson(s, d):
-    e = _events(s, d)
+    e = events_as_entries(table(s, d, "events", True))
     line = F.to_json(F.struct(F.col("ts_ns").alias("timestamp"), level_name(F.col("level")).alias("level"), "service", "message", "labels"))
     bad = F.when(F.col("id") % 10 == 0, F.lit("{broken")).otherwise(line)
     got = decode_lines(e.select("id", bad.alias("value")), now_ns=NOW)

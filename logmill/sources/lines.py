@@ -1,20 +1,23 @@
 """JSON, NDJSON and plain-text sources.
 
-Two JSON decoders: `strict` keeps the rules of the store this one is compatible with, in Arrow batches of Python; `fast` is
-from_json, which stays in the JVM and is more lenient (it turns non-string label values into text).
+Two JSON decoders: `strict` keeps the rules of the store this one is compatible with; `fast` is from_json alone, which is more
+lenient (it turns non-string label values into text). For the common kind of line both give the same, and so strict, too,
+leaves these to from_json and the JVM; only lines that a pattern can't vouch for go to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmill.functions.levels import INFO, UNKNOWN, level_from_json, parse_level_name
+from logmill.functions.levels import INFO, UNKNOWN, level_from_json, parse_level, parse_level_name
 
 BODY_BYTES = 32 << 20
 LINE_BYTES = 64 << 10
@@ -30,6 +33,15 @@ class _Raw(str):
     """A number as it is written."""
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(parse_int=_Raw, parse_float=_Raw, parse_constant=_no_constant)
+#: Halves of a character beyond the basic plane that come alone.
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _level(v: Any) -> int:
     if isinstance(v, _Raw):
         return int(v) if v.isdigit() and int(v) <= 255 else INFO
@@ -50,7 +62,7 @@ def _text(v: Any) -> str:
         return ""
     if not isinstance(v, str) or isinstance(v, _Raw):
         raise ValueError("no string")
-    return v
+    return v if v.isascii() else _LONE.sub("\ufffd", v)
 
 
 def _find(source: str, name: str) -> str | None:
@@ -77,7 +89,7 @@ def decode_entry(source: str) -> dict[str, Any]:
     times, label values that aren't strings and texts that are none are errors. data is kept as it is written.
     """
     source = source.strip(" \t\r\n")
-    got = json.loads(source, parse_int=_Raw, parse_float=_Raw, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+    got = _DECODER.decode(source)
     if not isinstance(got, dict):
         raise ValueError("no object")
     out: dict[str, Any] = {"ts_ns": 0, "level": UNKNOWN, "service": "", "message": "", "labels": None, "data": None}
@@ -98,7 +110,7 @@ def decode_entry(source: str) -> dict[str, Any]:
         elif name == "labels":
             if not isinstance(v, dict):
                 raise ValueError("labels are no object")
-            out["labels"] = {a: _text(b) for a, b in v.items()}
+            out["labels"] = {_text(a): _text(b) for a, b in v.items()}
         else:
             out[name] = _text(v)
     return out
@@ -148,26 +160,61 @@ def decode_body(body: bytes | str, now_ns: int) -> list[dict[str, Any]]:
     return [e | {"ts_ns": e["ts_ns"] or now_ns} for e in out]
 
 
-def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for line in b.column(b.num_columns - 1).to_pylist():
-            try:
-                if line is None or len(line.encode()) >= LINE_BYTES:
-                    raise ValueError
-                e = decode_entry(line)
-                rows.append({"ok": True, **e, "labels": list(e["labels"].items()) if e["labels"] is not None else None})
-            except ValueError:
-                rows.append(None)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, _FIELDS_ARROW)], [*b.schema.names[:-1], "e"])
+def _decode_array(lines: pa.Array) -> pa.Array:
+    rows, places = [], []
+    for i, line in enumerate(lines.drop_null().to_pylist()):
+        try:
+            e = decode_entry(line)
+        except (ValueError, RecursionError):
+            continue
+        rows.append({"ok": True, **e, "labels": list(e["labels"].items()) if e["labels"] is not None else None})
+        places.append(i)
+    at = np.full(len(lines), -1)
+    at[np.flatnonzero(lines.is_valid().to_numpy(zero_copy_only=False))[places]] = np.arange(len(rows))
+    return pa.array(rows, _FIELDS_ARROW).take(pa.array(at, mask=at < 0))
+
+
+_STR = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4})*+"'
+_INT = r"-?(?:0|[1-9][0-9]{0,17})"
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_MEMBER = (
+    rf'"(?:timestamp"\s*:\s*{_INT}|(?:service|message)"\s*:\s*{_STR}|level"\s*:\s*(?:{_STR}|0|[1-9][0-9]{{0,2}})|id"\s*:\s*(?:0|[1-9][0-9]{{0,17}})'
+    rf'|labels"\s*:\s*\{{\s*(?:{_STR}\s*:\s*{_STR}(?:\s*,\s*{_STR}\s*:\s*{_STR})*+\s*)?\}}'
+    rf'|(?!(?i:id|timestamp|level|service|message|labels|data)")[^"\\\x00-\x1f]*+"\s*:\s*(?:{_STR}|{_NUMBER}|true|false|null))'
+)
+#: Lines that every JSON decoder reads alike: known fields of their own kinds, in lower case, and others that are no objects.
+_PLAIN = rf"^\s*+\{{\s*(?:{_MEMBER}(?:\s*,\s*{_MEMBER})*+\s*)?\}}\s*+$".replace(r"\s", r"[ \t\r\n]")
+_FROM_JSON = "timestamp bigint, level string, service string, message string, labels map<string,string>"
+
+
+def _decode_strict(lines: DataFrame, column: str) -> DataFrame:
+    """Lines with one more column e, what the strict decoder gives, null for lines that don't decode. Each step is computed once."""
+    line = F.col(column)
+    df = lines.withColumn("_fits", F.coalesce(line.rlike(_PLAIN) & (F.regexp_count(line, F.lit('"level"[ \\t\\r\\n]*:')) <= 1), F.lit(False)))
+    df = df.withColumn("_got", F.when(F.col("_fits"), F.from_json(line, _FROM_JSON, {"mode": "PERMISSIVE"})))
+    got, names = F.col("_got"), F.map_keys("_got.labels")
+    df = df.withColumn("_plain", got.isNotNull() & F.coalesce(F.size(F.array_distinct(names)) == F.size(names), F.lit(True)))
+    df = df.withColumn("_number", F.when(F.col("_plain"), F.regexp_extract(line, r'"level"[ \t\r\n]*:[ \t\r\n]*([0-9]+)', 1).try_cast("int")))
+    number = F.col("_number")
+    level = F.when(number.isNotNull(), F.when(number <= 255, number).otherwise(INFO)).when(got["level"].isNull(), UNKNOWN).otherwise(parse_level(got["level"]).cast("int"))
+    jvm = F.struct(
+        F.lit(True).alias("ok"), F.coalesce(got["timestamp"], F.lit(0).cast("bigint")).alias("ts_ns"), level.cast("smallint").alias("level"), F.coalesce(got["service"], F.lit("")).alias("service"),
+        F.coalesce(got["message"], F.lit("")).alias("message"), got["labels"].alias("labels"), F.lit(None).cast("string").alias("data"),
+    )
+    python = F.arrow_udf(_decode_array, _FIELDS)
+    df = df.withColumn("_other", python(F.when(~F.col("_plain") & F.coalesce(F.trim(line) != "", F.lit(False)), line)))
+    return df.withColumn("e", F.when(F.col("_plain"), jvm).otherwise(F.col("_other")))
 
 
 def decode_lines(lines: DataFrame, column: str = "value", decoder: str = "strict", now_ns: int = 0) -> DataFrame:
-    """Entries of NDJSON lines; lines that don't decode, and blank ones, are passed over. Other columns stay in front."""
+    """Entries of NDJSON lines; lines that don't decode, and blank ones, are passed over. Other columns stay in front.
+
+    Lines of any length are decoded: the 64 KiB after which decode_body stops bound what a request may bring, not a record of
+    a file.
+    """
     keep = [c for c in lines.columns if c != column]
     if decoder == "strict":
-        kinds = ", ".join(f"`{c}` {t}" for c, t in lines.select(*keep).dtypes)
-        got = lines.select(*keep, column).mapInArrow(_decode_batches, f"{kinds}{', ' if kinds else ''}e {_FIELDS}").filter("e.ok")
+        got = _decode_strict(lines.select(*keep, column), column).filter("e.ok")
         e = F.col("e")
         cols = [e["ts_ns"], e["level"], e["service"], e["message"], e["labels"], e["data"]]
     elif decoder == "fast":

@@ -17,7 +17,7 @@ from logmill.plans.request import LogQuery, from_http
 from logmill.schema import canonical
 from logmill.service import Service, serve, ws_frame
 from logmill.sources import frames
-from logmill.sources.lines import decode_body, decode_lines, read_text
+from logmill.sources.lines import _PLAIN, decode_body, decode_entry, decode_lines, read_text
 from logmill.stats import file_stats, mean_savings
 from logmill.store import LogStore, assign_ids
 from logmill.streaming import ingest as streams
@@ -140,6 +140,32 @@ def test_bodies():
     assert decode_body("  plain\ntext ", T0)[0]["message"] == "plain\ntext"
 
 
+ODD_LINES = [
+    '{"timestamp": 5, "level": "err", "service": "s", "message": "m\\u00e9 \\"q\\" \\n", "labels": {"a": "b"}}', "", "  ", "{broken", '{"message": "x", "level": 9}', '{"level": null}', "{}", " { } ", "[]", "null", "5", '"x"',
+    '{"timestamp": 1.0}', '{"timestamp": "1"}', '{"timestamp": 0123}', '{"timestamp": 99999999999999999999}', '{"timestamp": -7}', '{"level": 256}', '{"level": "3"}', '{"level": 3, "level": "warn"}', '{"level": "warn", "level": 3}',
+    '{"level": " Dbg "}', '{"Level": 4, "MESSAGE": "up"}', '{"labels": {"a": 1}}', '{"labels": {"a": "1", "a": "2"}}', '{"labels": {}}', '{"labels": null}', '{"labels": {"level": "9"}, "level": 1}', '{"labels": {"level": "9"}}', '{"message": "a\tb"}',
+    '{"message": "say \\"level\\": 5 x"}', '{"message": "\\ud83d\\ude00"}', '{"message": "\\ud83d"}', '{"data": {"x": [1, 2]}}', '{"data": "t"}', '{"other": [1], "message": "k"}', '{"other": true, "message": "k", "n": -1.5e3}', '{"Id": 5}', '{"id": 5}', '{"id": -5}',
+    '{"message": "' + "y" * 200_000 + '"}', '{"a": ' + "[" * 5_000 + "]" * 5_000 + "}", '{"message": "x"} y', '{"message": "x",}', '{"message" : "x" , "service":"s"}\r', '{"message": NaN}', '{"x": NaN}', '{"message": "x", "message": "z"}', '{"service": null, "message": 5}', "plain {}",
+]
+
+
+def test_strict_lines_are_as_the_plain_decoder_says(spark):
+    """What from_json is trusted with is what the decoder of single entries gives, and the rest goes to that."""
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ODD_LINES)] + [(999, None)], "k int, value string")
+    got = {r.k: r for r in decode_lines(df, "value", "strict", T0).collect()}
+    for i, line in enumerate(ODD_LINES):
+        try:
+            e = decode_entry(line)
+        except (ValueError, RecursionError):
+            assert i not in got, line[:80]
+            continue
+        r = got[i]
+        level = e["level"] - 256 if e["level"] > 127 else e["level"]
+        assert (r.ts_ns, r.level, r.service, r.message, r.labels, r.data) == (e["ts_ns"] or T0, level, e["service"], e["message"], e["labels"], e["data"]), line[:80]
+    plain = spark.createDataFrame([(x,) for x in ODD_LINES], "v string").filter(F.col("v").rlike(_PLAIN)).count()
+    assert plain >= 15
+
+
 def test_decoders(spark, tmp_path):
     lines = ['{"timestamp": 5, "level": "err", "service": "s", "message": "m", "labels": {"a": "b"}}', "", "{broken", '{"message": "x", "level": 9}', '{"level": null}']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "k int, value string")
