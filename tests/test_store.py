@@ -6,6 +6,7 @@ import struct
 import threading
 from argparse import Namespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,38 @@ def test_decoders(spark, tmp_path):
 ENTRIES = [(1, T0, 2, "auth", "User signed in", {"env": "test"}, None), (2, T0 + 1, 4, "db", "Deadlock ü", {"shard": "03", "": ""}, '{"a": 1}'), (2**63 + 5, -1, 200, "", "", {}, None)]
 
 
+def slow_crc(data):
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+    return crc ^ 0xFFFFFFFF
+
+
+def test_checksums(monkeypatch):
+    rng = random.Random(2)
+    data = rng.randbytes(20_000)
+    sizes = [0, 1, 2, 3, 7, 8, 63, 64, 65, 1000, 4096, 4097, 5000, 8192, 9001]
+    starts = [rng.randrange(20_000 - s) for s in sizes]
+    want = [slow_crc(data[a : a + s]) for a, s in zip(starts, sizes)]
+    for fold in (4096, 2, 10**6):
+        monkeypatch.setattr(frames, "_FOLD_BYTES", fold)
+        assert frames.crc32c_many(data, np.array(starts), np.array(sizes)).tolist() == want
+    assert [frames.crc32c(data[a : a + s]) for a, s in zip(starts, sizes)] == want
+
+
+def test_log_of_many_records(monkeypatch):
+    entries = [(i, T0 + i, 2, "s", "m" * (i % 50), {}, None) for i in range(300)]
+    log = bytearray(frames.encode_log(entries))
+    for per_step in (4096, 7, 300):
+        monkeypatch.setattr(frames, "_RECORDS", per_step)
+        assert list(frames.decode_log(bytes(log))) == entries and list(frames.decode_log(b"")) == []
+        bad = log[:]
+        bad[len(frames.encode_log(entries[:120])) + 12] ^= 4
+        assert list(frames.decode_log(bytes(bad))) == entries[:120]
+
+
 def test_frames(spark, tmp_path):
     assert frames.crc32c(b"123456789") == 0xE3069283
     for e in ENTRIES:
