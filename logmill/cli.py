@@ -1,5 +1,6 @@
-"""Command line: query, tail, stats and ingest over a stored log table.
+"""Command line: serve, and query, tail, stats and ingest over a stored log table.
 
+    python -m logmill.cli serve -http :9428 -syslog :9429 -data DIR
     python -m logmill.cli query --store DIR -search TEXT -level ERROR -service NAME -limit 50
     python -m logmill.cli stats --store DIR
     python -m logmill.cli tail --store DIR -filter TEXT
@@ -14,14 +15,14 @@ import json
 import sys
 import time
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.functions.levels import INFO, NAMES, parse_level_name
 from logmill.plans.request import CLI_LIMIT, LogQuery
 
 BATCH_LINES = 100
-#: Terminal colours by level name.
+#: Terminal colours by level name.
 COLOURS = {"DEBUG": "\x1b[36m", "INFO": "\x1b[32m", "WARN": "\x1b[33m", "ERROR": "\x1b[31m", "FATAL": "\x1b[35m"}
 RESET = "\x1b[0m"
 
@@ -44,32 +45,31 @@ def run_query(store, args, out=sys.stdout, now_ns: int | None = None) -> int:
 
     q = LogQuery(level=parse_level_name(args.level) if args.level else 0, labels={"service": args.service} if args.service else {}, search=args.search, limit=args.limit)
     got = run(store.read(), q, now_ns or time.time_ns())
-    print(f"Found {got.total_hits} records in {got.duration_ms:.3f} ms\n", file=out)
+    print(f"{got.total_hits} entries match ({got.duration_ms:.3f} ms)\n", file=out)
     for r in got.entries.collect():  # at most 10,000
         print(show(r["ts_ns"], NAMES[r["level"]] if r["level"] in range(6) else NAMES[0], r["service"] or "", r["message"] or ""), file=out)
     return 0
 
 
 def run_stats(store, args, out=sys.stdout) -> int:
-    from logmill.stats import file_stats, mean_savings, stats_summary
+    from logmill.stats import RunningStats
 
-    row = stats_summary(store.read(), saved_pct=mean_savings(file_stats(store)).first()[0]).first()
-    print(json.dumps(row.asDict(), indent=2), file=out)
+    print(json.dumps(RunningStats(store).summary(), indent=2), file=out)
     return 0
 
 
 def run_ingest(store, args, source=sys.stdin, out=sys.stdout) -> int:
     """Lines of the standard input as INFO entries, blank ones left out; batches of lines make one commit."""
     from logmill.schema import ENTRY
+    from logmill.store import Ids
 
-    n = store.last_id() if store.files() else 0
-    began = n
+    ids, n = Ids(time.time_ns), 0
     lines = (x.strip() for x in source)
     for some in iter(lambda: list(itertools.islice((x for x in lines if x), BATCH_LINES * 100)), []):
-        rows = [(n + k, time.time_ns(), INFO, args.service, text, None, None) for k, text in enumerate(some, 1)]
+        rows = [(i, time.time_ns(), INFO, args.service, text, None, None) for i, text in enumerate(some, ids.take(len(some)))]
         store.append(store.spark.createDataFrame(rows, ENTRY))
         n += len(some)
-    print(f"Successfully piped {n - began} log lines.", file=out)
+    print(f"{n} lines stored", file=out)
     return 0
 
 
@@ -105,15 +105,24 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--store", required=True)
         for option, default in options:
             c.add_argument(f"-{option}", f"--{option}", default=default, type=type(default))
+    c = sub.add_parser("serve")
+    for option, default in (("http", ":9428"), ("syslog", ":9429"), ("data", "./data"), ("compat", "strict")):
+        c.add_argument(f"-{option}", f"--{option}", default=default)
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
-    from logmill.session import local_session
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
+    """Run a command in the caller's session, or the one that is active or that spark-submit configures, or else a local one."""
+    from logmill.session import any_session
     from logmill.store import LogStore
 
     args = parser().parse_args(argv)
-    store = LogStore(local_session(), args.store)
+    spark = spark or any_session()
+    if args.command == "serve":
+        from logmill.server import main as run_server
+
+        return run_server(spark, args, out)
+    store = LogStore(spark, args.store)
     return {"query": run_query, "stats": run_stats, "ingest": run_ingest, "tail": run_tail}[args.command](store, args)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from calendar import monthrange
 from datetime import date, datetime, timezone
+from time import time_ns
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,14 +103,15 @@ def month_start(month: Column, day: Column, year: int) -> Column:
     return F.when((month > 0) & (day >= 1) & (day <= of(last)), of(first).cast("bigint"))
 
 
-def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> DataFrame:
+def parse_syslog(frames: DataFrame, now_ns: int | None, compat: str = "strict") -> DataFrame:
     """Entries of frames (raw, sender): ts_ns, level, service, message, labels, data. Other columns of frames stay in front.
 
     An empty or null frame gives no entry; one of white space gives an entry with an empty message. Times missing or
     unreadable are now_ns; a time without a year is in now_ns' year. Labels: source, sender, and facility and host where
-    known.
+    known. Of a stream that runs for long now_ns is None: missing times are null then, which prepare() makes the time of storing,
+    and the year is that of the plan's start.
     """
-    year = datetime.fromtimestamp(now_ns // 1_000_000_000, timezone.utc).year
+    year = datetime.fromtimestamp((time_ns() if now_ns is None else now_ns) // 1_000_000_000, timezone.utc).year
     keep = [c for c in frames.columns if c not in ("raw", "sender")]
     df = frames.filter("raw is not null and raw <> ''").withColumn("_t", trim_space(F.col("raw")))
     rest, pri, _ = priority(F.col("_t"))
@@ -142,7 +144,7 @@ def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> Data
         .otherwise(F.col("_r"))
     )
     host = F.when(bsd, word(3)).when(iso, word(1))
-    ts = F.coalesce("_b", "_i", F.lit(now_ns))
+    ts = F.coalesce("_b", "_i", F.lit(now_ns).cast("bigint"))
     if compat == "corrected":
         v = F.col("_r").rlike(_RFC5424) & F.col("_p").isNotNull()
         g = lambda n: _part(F.col("_r"), _RFC5424, n)
@@ -150,7 +152,7 @@ def parse_syslog(frames: DataFrame, now_ns: int, compat: str = "strict") -> Data
         service = F.when(v, F.coalesce(known(g(3)), F.lit("system"))).otherwise(service)
         message = F.when(v, g(7)).otherwise(message)
         host = F.when(v, known(g(2))).otherwise(host)
-        ts = F.when(v, F.coalesce(rfc3339_ns(g(1)), F.lit(now_ns))).otherwise(ts)
+        ts = F.when(v, F.coalesce(rfc3339_ns(g(1)), F.lit(now_ns).cast("bigint"))).otherwise(ts)
         extra = [(k, F.when(v, known(g(n)))) for k, n in (("procid", 4), ("msgid", 5), ("sd", 6))]
     else:
         extra = []

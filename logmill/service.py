@@ -21,13 +21,14 @@ from logmill.plans.request import QUERY_BODY_BYTES, from_http
 from logmill.schema import ENTRY
 from logmill.sources.frames import BATCH_BODY_BYTES, DecodeError, decode_batch
 from logmill.sources.lines import BODY_BYTES, decode_body
-from logmill.stats import file_stats, mean_savings, stats_summary
-from logmill.store import LogStore
+from logmill.stats import RunningStats
+from logmill.store import Ids, LogStore
 from logmill.streaming.tail import Hub, as_json
 
 _LIMITS = {"/api/v1/ingest": BODY_BYTES, "/api/v1/ingest/binary": BATCH_BODY_BYTES, "/api/v1/query": QUERY_BODY_BYTES}
 _CORS = {"Access-Control-Allow-Origin": "*", "Access-Control-Allow-Methods": "GET, POST, OPTIONS", "Access-Control-Allow-Headers": "Content-Type, Authorization"}
 PING_S = 25
+ICON = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 8 8"><path d="M1 1h6v1H1zM1 3.5h4v1H1zM1 6h5v1H1z"/></svg>'
 #: Fixed value of the WebSocket protocol, RFC 6455.
 _WS_KEY = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"
 
@@ -35,7 +36,7 @@ _WS_KEY = "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"
 class Service:
     def __init__(self, store: LogStore, hub: Hub | None = None, compat: str = "strict", now_ns=time.time_ns):
         self.store, self.hub, self.compat, self.now_ns = store, hub or Hub(compat), compat, now_ns
-        self._ids = itertools.count((store.last_id() if store.files() else 0) + 1)
+        self.ids, self._stats = Ids(now_ns), RunningStats(store)
 
     def handle(self, method: str, target: str, body: bytes = b"") -> tuple[int, str]:
         """Status and body of a request."""
@@ -43,6 +44,10 @@ class Service:
         path, params = url.path.rstrip("/") or "/", parse_qs(url.query, keep_blank_values=True)
         if method == "OPTIONS":
             return 204, ""
+        if path == "/":
+            return 200, "The log store's API is at /api/v1; there is no page here."
+        if path == "/favicon.ico":
+            return 200, ICON
         if path == "/health":
             return 200, json.dumps({"status": "ok"})
         if path == "/api/v1/query":
@@ -67,8 +72,8 @@ class Service:
         return 200, json.dumps({"status": "ok", "ingested": len(rows)})
 
     def add(self, rows: list[dict]) -> None:
-        for r in rows:
-            r["id"] = next(self._ids)
+        for i, r in enumerate(rows, self.ids.take(len(rows))):
+            r["id"] = i
         if rows:
             spark = self.store.spark
             narrow = lambda v: v - 256 if v > 127 else v
@@ -90,10 +95,7 @@ class Service:
         return 200, run(self._logs(), q, self.now_ns()).to_json()
 
     def stats(self) -> dict:
-        if not self.store.files():
-            return stats_summary(self._logs(), subscribers=len(self.hub)).first().asDict()
-        saved = mean_savings(file_stats(self.store)).first()[0]
-        return stats_summary(self.store.read(), subscribers=len(self.hub), saved_pct=saved).first().asDict() | {"sealed_chunks": self.store.files()}
+        return self._stats.summary(len(self.hub))
 
 
 def ws_frame(text: str, opcode: int = 1) -> bytes:
@@ -127,7 +129,8 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 9428) -> Thread
             self.send_response(status)
             for k, v in _CORS.items():
                 self.send_header(k, v)
-            self.send_header("Content-Type", "application/json" if status == 200 else "text/plain; charset=utf-8")
+            kind = "image/svg+xml" if text == ICON else "application/json" if text[:1] in ("{", "[") else "text/plain; charset=utf-8"
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(raw)))
             self.end_headers()
             self.wfile.write(raw)

@@ -22,6 +22,14 @@ def local_session(cpus: int | str = "*", name: str = "logmill", memory: str = "8
     )
 
 
+def any_session() -> SparkSession:
+    """The active session, or one with the master that spark-submit or the environment configures, or else a local one."""
+    active = SparkSession.getActiveSession()
+    if active is None and ("PYSPARK_GATEWAY_PORT" in os.environ or "SPARK_REMOTE" in os.environ or "MASTER" in os.environ):
+        return SparkSession.builder.appName("logmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return active or local_session()
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan over all cores, for plans that compute much for each row.
 

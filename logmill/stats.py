@@ -30,6 +30,40 @@ def file_stats(store: LogStore) -> DataFrame:
     return got.withColumn("saved_pct", savings_pct(F.col("file_size"), F.col("raw_bytes")))
 
 
+class RunningStats:
+    """The telemetry of a store, kept between calls: only files that weren't there before are read.
+
+    Holds a few numbers for each file of the store.
+    """
+
+    def __init__(self, store: LogStore):
+        self.store, self._known = store, {}
+
+    def update(self) -> None:
+        sizes = self.store.listing()
+        self._known = {p: v for p, v in self._known.items() if p in sizes}
+        if new := [p for p in sizes if p not in self._known]:
+            df = self.store.spark.read.option("basePath", self.store.path).parquet(*new)
+            second = int_div(F.col("ts_ns"), 1_000_000_000)
+            per_second = df.select("*", F.col("_metadata.file_path").alias("path")).groupBy("path", second.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(raw_bytes()).alias("raw"))
+            rows = per_second.groupBy("path").agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.max("s").alias("s"), F.max_by("n", "s").alias("at_s"))
+            by_name = {p.rsplit("/", 1)[1]: p for p in new}
+            for r in rows.toLocalIterator():
+                p = by_name[r["path"].rsplit("/", 1)[1]]
+                self._known[p] = (r["n"], r["s"], r["at_s"], (1.0 - sizes[p] / r["raw"]) * 100.0 if r["raw"] else None)
+
+    def summary(self, subscribers: int = 0, queued: int = 0) -> dict:
+        """The telemetry record; velocity is that of the last second of event time."""
+        self.update()
+        files = list(self._known.values())
+        last = max((s for _, s, _, _ in files if s is not None), default=None)
+        saved = [p for *_, p in files if p is not None]
+        return {
+            "total_ingested": sum(f[0] for f in files), "ingest_velocity_ops": sum(f[2] for f in files if f[1] == last and last is not None), "active_chunks": 1, "sealed_chunks": len(files),
+            "compression_ratio_pct": sum(saved) / len(saved) if saved else None, "ring_buffer_queued": queued, "subscribers_count": subscribers,
+        }
+
+
 def mean_savings(per_file: DataFrame) -> DataFrame:
     """The unweighted mean over files, null without any."""
     return per_file.agg(F.avg("saved_pct").alias("compression_ratio_pct"))

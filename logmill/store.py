@@ -6,8 +6,9 @@ one table. Hot labels can have columns of their own, whose equality filters reac
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,34 @@ def dense_ids(entries: DataFrame, order: str, offset: int = 0, width: int = 1 <<
     return rows.join(before, "_b", "left").withColumn("id", place + F.coalesce("carry", F.lit(0)) + F.lit(offset)).drop("_b", "carry")
 
 
+class Ids:
+    """Ids in order of arrival for everything that one process takes in: the time in ms, and 22 bits to count on."""
+
+    def __init__(self, now_ns: Callable[[], int]):
+        self.now_ns, self._next, self._lock = now_ns, 0, threading.Lock()
+
+    def take(self, n: int) -> int:
+        """The first of n ids in a row."""
+        with self._lock:
+            first = max(self._next, self.now_ns() // 1_000_000 << 22)
+            self._next = first + n
+        return first
+
+
+def numbered(entries: DataFrame, take: Callable[[int], int]) -> tuple[DataFrame, int, int]:
+    """Entries with ids in a row, in the order of the source, the first of which `take` gives for their number; that id and
+    number. The driver gets a count for each partition. entries is computed twice: persist it."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["p"]: r["count"] for r in entries.groupBy(part.alias("p")).count().collect()}
+    offsets, n = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(n)
+        n += sizes.get(p, 0)
+    first = take(n)
+    before = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), part + 1) if offsets else F.lit(0)
+    return entries.withColumn("id", place + before + F.lit(first).cast("bigint")), first, n
+
+
 def prepare(entries: DataFrame, now_ns: int) -> DataFrame:
     """Entries as they are ingested: a time of 0 is now."""
     return entries.withColumn("ts_ns", default_ts(F.col("ts_ns"), now_ns))
@@ -101,6 +130,12 @@ class LogStore:
     def last_id(self) -> int:
         return self.read().agg(F.max("id")).first()[0] or 0
 
+    def listing(self) -> dict[str, int]:
+        """Path and size of each file."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/date=*/*.parquet")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder)
+        return {s.getPath().toString(): s.getLen() for s in found or []}
+
 
 def union_hot_cold(hot: DataFrame, cold: DataFrame) -> DataFrame:
     """Compacted and fresh entries as one table, without looking for duplicates."""

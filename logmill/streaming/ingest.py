@@ -16,7 +16,7 @@ from logmill.functions.entries import int_div
 from logmill.functions.syslog import parse_syslog
 from logmill.schema import FIELDS
 from logmill.sources.lines import decode_lines, text_entries
-from logmill.store import LogStore, prepare
+from logmill.store import Ids, LogStore, numbered, prepare
 
 #: Bits of an id that number the rows of a batch and partition; the batch comes above.
 ROW_BITS = 40
@@ -50,20 +50,58 @@ def batch_ids(entries: DataFrame, batch: int) -> DataFrame:
     return entries.withColumn("id", F.monotonically_increasing_id() + F.lit((batch + 1) << ROW_BITS))
 
 
-def ingest(entries: DataFrame, store: LogStore, checkpoint: str, now_ns: Callable[[], int], trigger: dict | None = None, also: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+class Begun:
+    """Notes beside a stream's checkpoint of the batches it began to store, with their ids: first and number."""
+
+    KEEP = 100
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.folder = spark, checkpoint.rstrip("/") + "_batches"
+
+    def _at(self, name: object):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def ids(self, number: int) -> tuple[int, int] | None:
+        p, fs = self._at(f"{number}_*")
+        found = fs.globStatus(p)
+        return tuple(map(int, found[0].getPath().getName().split("_")[1:])) if found else None
+
+    def note(self, number: int, first: int, n: int) -> None:
+        p, fs = self._at(f"{number}_{first}_{n}")
+        fs.create(p, True).close()
+        old, _ = self._at(f"{number - self.KEEP}_*")
+        for s in fs.globStatus(old) or []:
+            fs.delete(s.getPath(), False)
+
+
+def ingest(entries: DataFrame, store: LogStore, checkpoint: str, now_ns: Callable[[], int], trigger: dict | None = None, also: Callable[[DataFrame, int], None] | None = None, ids: Ids | None = None) -> StreamingQuery:
     """Start writing a stream of entries to the store; also gets each batch as it is stored, with ids.
 
-    A batch carries its number in its ids, so that one written twice after a failure is found and not stored again.
+    Ids are those of the process, if given, or carry the batch's number. They are noted before a batch is stored. Only a
+    batch that was begun before, which a failure makes run again, is looked for in the store, by its ids, and not stored twice.
     """
+    begun = Begun(store.spark, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        df = batch_ids(prepare(batch, now_ns()), number).select(*FIELDS)
-        low, high = (number + 1) << ROW_BITS, (number + 2) << ROW_BITS
-        stored = store.files() and store.read().filter(F.col("id").between(low, high - 1)).limit(1).count()
-        if not stored:
-            store.append(df)
-        if also:
-            also(df, number)
+        rows = prepare(batch, now_ns()).persist()
+        try:
+            before = begun.ids(number)
+            if ids is None:
+                first, n = (number + 1) << ROW_BITS, 1 << ROW_BITS
+                df = batch_ids(rows, number)
+            else:
+                df, first, n = numbered(rows, (lambda _: before[0]) if before else ids.take)
+            df = df.select(*FIELDS)
+            if before is None:
+                begun.note(number, first, n)
+            stored = before and store.files() and store.read().filter(F.col("id").between(first, first + n - 1)).limit(1).count()
+            if not stored and n:
+                store.append(df)
+            if also:
+                also(df, number)
+        finally:
+            rows.unpersist()
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 

@@ -59,7 +59,7 @@ class SyslogListener:
     """UDP and TCP sockets that fill a spool. Port 0 takes any free port."""
 
     def __init__(self, folder: str, host: str = "127.0.0.1", port: int = 5514, frames: int = 10_000, seconds: float = 1.0):
-        self.spool = spool = Spool(folder, frames, seconds)
+        self.host, self.spool = host, (spool := Spool(folder, frames, seconds))
 
         class Udp(socketserver.BaseRequestHandler):
             def handle(self) -> None:

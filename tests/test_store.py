@@ -322,15 +322,67 @@ def test_service_and_cli(spark, tmp_path):
     server.shutdown()
     out = io.StringIO()
     cli.run_query(service.store, Namespace(search="", level="error", service="", limit=50), out, T0 + MIN)
-    assert out.getvalue().startswith("Found 2 records") and "2024-01-01 00:00:00.000" in out.getvalue()
+    assert out.getvalue().startswith("2 entries match") and "2024-01-01 00:00:00.000" in out.getvalue()
     cli.run_ingest(service.store, Namespace(service="cli-client"), io.StringIO("a\n\n b \n"), out)
-    assert out.getvalue().endswith("Successfully piped 2 log lines.\n") and service.store.read().count() == 6
+    assert out.getvalue().endswith("2 lines stored\n") and service.store.read().count() == 6
     out = io.StringIO()
     cli.run_stats(service.store, None, out)
     assert json.loads(out.getvalue())["total_ingested"] == 6
     assert ws_frame("x" * 200)[:4] == b"\x81\x7e\x00\xc8" and ws_frame("a") == b"\x81\x01a"
 
 
+def test_server(spark, tmp_path):
+    """Frames by UDP and TCP and requests by HTTP end up in one store, in order of arrival; a second server goes on where the first ended."""
+    import socket
+    import time
+
+    from logmill.server import Server, address
+
+    assert address(":9428") == ("0.0.0.0", 9428) and address("localhost:1") == ("localhost", 1)
+    for run in (1, 2):
+        server = Server(spark, str(tmp_path / "data"), "127.0.0.1:0", "127.0.0.1:0", now_ns=lambda: T0 + run * MIN, seconds=0.2)  # noqa: B023
+        (host, port), (_, syslog) = server.addresses
+        http_ = http.client.HTTPConnection(host, port, timeout=60)
+
+        def ask(method, path, body=None):
+            http_.request(method, path, body)  # noqa: B023
+            r = http_.getresponse()  # noqa: B023
+            return r.status, r.getheader("Content-Type"), r.read().decode()
+
+        assert ask("GET", "/")[:2] == (200, "text/plain; charset=utf-8") and ask("GET", "/favicon.ico")[:2] == (200, "image/svg+xml") and ask("GET", "/nothing")[0] == 404
+        u = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        u.sendto(f"<11>2024-01-01T00:00:00Z h app udp {run}".encode(), (host, syslog))
+        with socket.create_connection((host, syslog)) as t:
+            t.sendall(b"<14>by tcp\n")
+        assert ask("POST", "/api/v1/ingest", '{"message": "by http", "service": "web"}')[0] == 200
+        for _ in range(150):
+            if json.loads(ask("GET", "/api/v1/query?service=app")[2])["total_hits"] == run and json.loads(ask("GET", "/api/v1/stats")[2])["total_ingested"] == 3 * run:
+                break
+            time.sleep(0.2)
+        else:
+            raise AssertionError("frames weren't stored")
+        with socket.create_connection((host, syslog)) as t:
+            t.sendall(b"<14>late frame\n") if run == 2 else None
+            time.sleep(0.3)
+        server.stop()
+    rows = server.store.read().collect()
+    assert sorted(r.message for r in rows) == ["by http"] * 2 + ["by tcp"] * 2 + ["late frame", "udp 1", "udp 2"]
+    ids = {r.id for r in rows}
+    assert len(ids) == 7 and max(r.id for r in rows if r.message == "udp 1") < min(r.id for r in rows if r.message == "udp 2")
+    assert {r.ts_ns for r in rows if r.message == "by tcp"} == {T0 + MIN, T0 + 2 * MIN}
+
+
+def test_ids_in_a_row(spark):
+    from logmill.store import Ids, numbered
+
+    ids = Ids(lambda: T0)
+    df = spark.range(0, 50, 1, 7).select((F.col("id") * 2).alias("v")).filter("v % 3 = 0")
+    got, first, n = numbered(df, ids.take)
+    rows = sorted(got.collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == list(range(first, first + n)) and [r.v for r in rows] == sorted(r.v for r in rows) and n == 17
+    assert ids.take(1) == first + n and numbered(df.limit(0), ids.take)[2] == 0
+
+
 def test_websocket_tail(spark, tmp_path):
     import socket
     import time
