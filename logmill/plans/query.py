@@ -27,8 +27,9 @@ def build_filter(q: LogQuery, columns: list[str], promoted: tuple[str, ...] = ()
     """The condition of a normalised request: time range (both ends count), level, labels and text, all of them.
 
     If the table has a date column its bounds are added, since partitions can't be pruned by ts_ns. A selector on a label in
-    `promoted` reads its own column lbl_<name>, which is pushed down to the scan; others look into tags. The text is matched
-    in any case, with no wildcards.
+    `promoted` reads its own column lbl_<name>, which is pushed down to the scan; others look into tags. One on the service
+    has its column read first, where the table tells which entries have a label of that name besides. The text is matched in
+    any case, with no wildcards.
     """
     out = F.col("ts_ns").between(F.lit(q.start_ns), F.lit(q.end_ns))
     if "date" in columns:
@@ -37,6 +38,8 @@ def build_filter(q: LogQuery, columns: list[str], promoted: tuple[str, ...] = ()
         out &= F.col("level") == F.lit(q.level).cast("tinyint")
     for key, value in sorted(q.labels.items()):
         k, v = key.lower(), value.lower()
+        if k == "service" and "service_label" in columns:
+            out &= (F.col("service_lc") == F.lit(v)) | F.col("service_label")
         if k in promoted and f"lbl_{k}" in columns:
             out &= F.col(f"lbl_{k}") == F.lit(v)
         elif "tags" in columns:
@@ -79,6 +82,13 @@ def histogram(logs: DataFrame, q: LogQuery) -> DataFrame:
     return joined.select((F.col("bucket") * F.lit(q.width_ns) + F.lit(q.start_ns)).alias("timestamp"), "total", *SEVERITIES)
 
 
+def projected(found: DataFrame, compat: str = "strict") -> DataFrame:
+    """The columns of result rows: strictly without labels and with an id of 0."""
+    if compat == "corrected":
+        return found.select("id", "ts_ns", "level", "service", "message", "labels", "data")
+    return found.select(F.lit(0).cast("bigint").alias("id"), "ts_ns", "level", "service", "message", "data")
+
+
 def entries(logs: DataFrame, q: LogQuery) -> DataFrame:
     """The rows of a result, newest first: of the first `limit` matches in order of arrival (corrected: of the newest).
 
@@ -86,9 +96,9 @@ def entries(logs: DataFrame, q: LogQuery) -> DataFrame:
     """
     found = matches(logs, q)
     if q.compat == "corrected":
-        return found.orderBy(F.desc("ts_ns"), F.asc("id")).limit(q.limit).select("id", "ts_ns", "level", "service", "message", "labels", "data")
+        return found.orderBy(F.desc("ts_ns"), F.asc("id")).limit(q.limit).transform(projected, q.compat)
     first = found.select("id", "ts_ns", "level", "service", "message", "data").orderBy("id").limit(q.limit)
-    return first.orderBy(F.desc("ts_ns"), F.asc("id")).select(F.lit(0).cast("bigint").alias("id"), "ts_ns", "level", "service", "message", "data")
+    return first.orderBy(F.desc("ts_ns"), F.asc("id")).transform(projected)
 
 
 @dataclass

@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from logmill.functions.levels import UNKNOWN, parse_level_name
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logmill.functions.levels import UNKNOWN, parse_level, parse_level_name
 
 DAY_NS = 86_400_000_000_000
 MINUTE_NS = 60_000_000_000
@@ -55,6 +58,19 @@ class LogQuery:
         return max(1, (span if span > 0 else MINUTE_NS) // self.buckets)
 
 
+def normalised(requests: DataFrame) -> DataFrame:
+    """LogQuery.normalise for a table of requests (request_id, asked_ns, start_time, end_time, level, limit_n, histogram_buckets)."""
+    given = lambda c: F.nullif(F.col(c), F.lit(0).cast("bigint"))
+    end = F.coalesce(given("end_time"), F.col("asked_ns"))
+    n, b = F.coalesce("limit_n", F.lit(0)), F.coalesce("histogram_buckets", F.lit(0))
+    return requests.select(
+        "request_id", F.coalesce(given("start_time"), end - F.lit(DAY_NS)).alias("start_ns"), end.alias("end_ns"),
+        F.when(F.coalesce("level", F.lit("")) == "", UNKNOWN).otherwise(parse_level(F.col("level"))).cast("bigint").alias("level"),
+        F.when((n > 0) & (n <= MOST_LIMIT), n).otherwise(DEFAULT_LIMIT).cast("bigint").alias("row_limit"),
+        F.when(b <= 0, DEFAULT_BUCKETS).otherwise(F.least(b, F.lit(MOST_BUCKETS))).cast("bigint").alias("buckets"),
+    )
+
+
 def _fitting(body: Any) -> dict[str, Any] | None:
     """The fields of a decoded body, None if any has a wrong type. Names match in any case; unknown ones are ignored."""
     if not isinstance(body, dict):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from hashlib import sha1
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +13,15 @@ from logmill.functions.entries import HOUR_NS, int_div
 from logmill.functions.levels import level_from_json, level_name, parse_level
 from logmill.functions.syslog import parse_syslog, priority, severity_level, tokens
 from logmill.plans import query as plan
-from logmill.plans.request import DAY_NS, DEFAULT_BUCKETS, DEFAULT_LIMIT, MOST_BUCKETS, MOST_LIMIT, LogQuery
+from logmill.plans.request import DAY_NS, LogQuery, normalised
 from logmill.queries.tables import table
 from logmill.schema import canonical, raw_bytes
+from logmill.session import checkpoint_dir
 from logmill.sources.adapters import documents_as_entries, events_as_entries, events_as_frames
 from logmill.sources.lines import decode_lines, default_ts, text_entries
-from logmill.stats import chunk_stats, stats_summary, total_bytes, velocity
-from logmill.store import dense_ids, union_hot_cold
+from logmill.stats import chunk_stats, file_stats, stats_summary, total_bytes, velocity
+from logmill.store import LogStore, dense_ids
+from logmill.streaming.ingest import entries_of, ingest, watch
 
 #: 2024-01-31T00:00:00Z stands for now.
 NOW = 1_706_659_200_000_000_000
@@ -25,6 +29,9 @@ START, END = 1_704_412_800_000_000_000, 1_705_017_600_000_000_000  # a week of J
 SPAN = END - START
 CHUNK = 1000
 Q = LogQuery(start_ns=START, end_ns=END, limit=100, buckets=30).normalise(NOW)
+#: The whole table, for all that isn't about the time range.
+FIRST = 1_704_067_200_000_000_000
+ALL = {"start_ns": FIRST, "end_ns": NOW}
 
 
 def _events(s, d) -> DataFrame:
@@ -88,12 +95,6 @@ def _text_lines(s, d):
     return got.select("id", "ts_ns", "level", "service", "message")
 
 
-def _union(s, d):
-    e = _events(s, d)
-    both = union_hot_cold(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"))
-    return both.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts"))
-
-
 def _json_levels(s, d):
     """The level of each search request as JSON text: every third as it is, every third quoted, others as numbers or null."""
     r = table(s, d, "searches").select("request_id", "level", "limit_n").distinct()
@@ -104,16 +105,47 @@ def _json_levels(s, d):
 
 def _requests(s, d):
     """The search requests with their defaults filled in, each once."""
-    r = table(s, d, "searches").select("request_id", "asked_ns", "start_time", "end_time", "level", "search", "limit_n", "histogram_buckets").distinct()
-    zero = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0).cast("bigint")), F.lit(None).cast("bigint"))
-    end = F.coalesce(zero("end_time"), F.col("asked_ns"))
-    n, b = F.coalesce("limit_n", F.lit(0)), F.coalesce("histogram_buckets", F.lit(0))
-    return r.select(
-        "request_id", F.coalesce(zero("start_time"), end - F.lit(DAY_NS)).alias("start_ns"), end.alias("end_ns"),
-        F.when(F.coalesce("level", F.lit("")) == "", 0).otherwise(parse_level(F.col("level"))).cast("bigint").alias("level"),
-        F.when((n > 0) & (n <= MOST_LIMIT), n).otherwise(DEFAULT_LIMIT).cast("bigint").alias("row_limit"),
-        F.when(b <= 0, DEFAULT_BUCKETS).otherwise(F.least(b, F.lit(MOST_BUCKETS))).cast("bigint").alias("buckets"),
-    )
+    return normalised(table(s, d, "searches").select("request_id", "asked_ns", "start_time", "end_time", "level", "search", "limit_n", "histogram_buckets").distinct())
+
+
+def _folder(s, d, *names: str) -> str:
+    """A folder of this session's own for what a query writes, beside its checkpoints."""
+    return "/".join((checkpoint_dir(s), "logmill-queries", s.sparkContext.applicationId, sha1(d.encode()).hexdigest()[:12], *names))
+
+
+_BUILT: dict[str, LogStore] = {}
+
+
+def _store(s, d) -> LogStore:
+    """The events in a store, once a session: the first two weeks compacted, two days of these as one commit more, the rest as it was appended."""
+    path = _folder(s, d, "store")
+    if path not in _BUILT:
+        store, events = LogStore(s, path, ("env", "user")), _events(s, d)
+        late = F.col("id") % 7 == 3
+        sealed = F.col("ts_ns") < F.lit(END)
+        store.append(events.filter(sealed & ~late))
+        for day in store.read().select("date").distinct().sort("date").limit(3).collect():
+            store.compact(str(day["date"]))
+        store.append(events.filter(sealed & late))
+        store.append(events.filter(~sealed))
+        _BUILT[path] = store
+    return _BUILT[path]
+
+
+def _stored(**changes):
+    q = replace(Q, **changes).normalise(NOW)
+    return lambda s, d: _rows(plan.matches(_store(s, d).read(), q, _store(s, d).promoted))
+
+
+def _streamed(s, d):
+    """NDJSON files taken in by a stream, as the store has them."""
+    name = uuid4().hex
+    lines, store = _folder(s, d, name, "lines"), LogStore(s, _folder(s, d, name, "store"))
+    fields = F.struct(F.col("ts_ns").alias("timestamp"), level_name(F.col("level")).alias("level"), "service", "message", "labels")
+    events_as_entries(table(s, d, "events", True)).select(F.to_json(fields)).write.text(lines)
+    query = ingest(entries_of(watch(s, lines), "ndjson", 0), store, _folder(s, d, name, "checkpoint"), lambda: NOW, {"availableNow": True})
+    query.awaitTermination()
+    return store.read().select("ts_ns", "level", "service", "message", F.element_at("labels", "env").alias("env"))
 
 
 def _node_stats(s, d):
@@ -135,24 +167,24 @@ def _cli_line(s, d):
 
 QUERIES = {
     "filter_time_range": lambda s, d: _rows(_events(s, d).filter(plan.build_filter(Q, ["ts_ns"]))),
-    "filter_time_range_pruned": _filter(),
+    "filter_time_range_pruned": _stored(),
     "filter_default_window": lambda s, d: _rows(plan.matches(_logs(s, d), LogQuery().normalise(NOW - DAY_NS))),
-    "filter_level": _filter(level=4),
-    "filter_service_ci": _filter(labels={"Service": "SVC-3"}),
-    "filter_label": _filter(labels={"ENV": "staging"}),
-    "filter_substring_ci": _filter(search="ERROR {"),
-    "filter_compound": _filter(level=4, labels={"env": "PROD", "service": "svc-2"}, search="user 1"),
+    "filter_level": _filter(level=4, **ALL),
+    "filter_service_ci": _filter(labels={"Service": "SVC-3"}, **ALL),
+    "filter_label": _filter(labels={"ENV": "staging"}, **ALL),
+    "filter_substring_ci": _filter(search="ERROR {", **ALL),
+    "filter_compound": _filter(level=4, labels={"env": "PROD", "service": "svc-2"}, search="user 1", **ALL),
     "filter_text_documents": lambda s, d: canonical(documents_as_entries(table(s, d, "documents"))).filter(F.contains(F.lower("message"), F.lower(F.lit("\u00dcBER")))).select("id", "service"),
-    "project_entry": lambda s, d: plan.entries(_logs(s, d), replace(Q, limit=10_000)).select("id", "ts_ns", "level", "service", "message", "data"),
+    "project_entry": lambda s, d: plan.projected(_logs(s, d)),
     "project_data_json": lambda s, d: _logs(s, d).select("id", "data", F.get_json_object("data", "$.k").cast("bigint").alias("k")),
-    "agg_total_hits": lambda s, d: plan.total_hits(_logs(s, d), replace(Q, level=2)),
-    "agg_histogram_total": lambda s, d: plan.histogram(_logs(s, d), Q).select("timestamp", "total"),
-    "agg_histogram_by_level": _histogram(),
-    "agg_histogram_zero_fill": _histogram(labels={"user": "17"}, buckets=120),
+    "agg_total_hits": lambda s, d: plan.total_hits(_logs(s, d), replace(Q, level=2, **ALL)),
+    "agg_histogram_total": lambda s, d: plan.histogram(_logs(s, d), replace(Q, **ALL)).select("timestamp", "total"),
+    "agg_histogram_by_level": _histogram(**ALL),
+    "agg_histogram_zero_fill": _histogram(labels={"user": "17"}, buckets=120, **ALL),
     "agg_histogram_edge": _histogram(end_ns=START + 7 * HOUR_NS, buckets=11),
     "agg_histogram_zero_span": _histogram(start_ns=START, end_ns=START),
     "agg_inverted_range": _histogram(start_ns=END, end_ns=START),
-    "agg_histogram_bucket_clamp": _histogram(buckets=301),
+    "agg_histogram_bucket_clamp": _histogram(buckets=301, **ALL),
     "agg_chunk_stats": lambda s, d: chunk_stats(_events(s, d), CHUNK),
     "agg_raw_bytes": lambda s, d: _events(s, d).agg(F.sum(raw_bytes()).alias("raw_bytes")),
     "agg_total_bytes": lambda s, d: total_bytes(_events(s, d)),
@@ -163,7 +195,7 @@ QUERIES = {
     "limit_normalised": lambda s, d: plan.entries(_logs(s, d), replace(Q, limit=10_001).normalise(NOW)).select("ts_ns", "message"),
     "sort_ts_desc": lambda s, d: plan.entries(_logs(s, d), replace(Q, limit=50, search="purchase")).select("ts_ns", "service"),
     "requests_normalised": _requests,
-    "scan_union_hot_cold": _union,
+    "scan_union_hot_cold": lambda s, d: _store(s, d).read().groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("first_ts")),
     "scan_text_lines": _text_lines,
     "scan_ndjson_roundtrip": _ndjson,
     "ingest_assign_id": lambda s, d: dense_ids(_events(s, d).drop("id"), "ts_ns", width=HOUR_NS).select("id", "ts_ns", "message"),
@@ -180,6 +212,12 @@ QUERIES = {
     "syslog_parse_rfc3339": _syslog("rfc3339"),
     "syslog_parse_short": _syslog("short"),
     "syslog_parse_fallback": _syslog("version"),
+    "store_label": _stored(labels={"ENV": "Staging", "user": "17"}, **ALL),
+    "store_service": _stored(labels={"service": "SVC-3"}, **ALL),
+    "store_compound": _stored(level=4, labels={"env": "PROD", "service": "svc-2"}, search="user 1"),
+    "store_histogram": lambda s, d: plan.histogram(_store(s, d).read(), replace(Q, **ALL)),
+    "store_total": lambda s, d: file_stats(_store(s, d)).agg(F.sum("n").alias("n"), F.min("min_ts").alias("first_ts"), F.max("max_ts").alias("last_ts"), F.sum("raw_bytes").alias("raw_bytes")),
+    "stream_ingest": _streamed,
     "format_cli_line": _cli_line,
     "ext_topk_newest": lambda s, d: plan.entries(_logs(s, d), replace(Q, limit=40, compat="corrected")).select("id", "ts_ns", "service"),
     "ext_label_or": lambda s, d: _logs(s, d).filter(F.arrays_overlap("tags", F.array(F.lit("user=17"), F.lit("user=18")))).select("id", "service"),
@@ -195,6 +233,7 @@ WITH e AS (SELECT event_id + 1 AS id, epoch_us(ts) * 1000 AS ts_ns,
   'svc-' || (user_id % 8) AS service, 'user ' || user_id || ' ' || event_type || ' ' || props AS message,
   CASE WHEN user_id % 2 = 0 THEN 'prod' ELSE 'Staging' END AS env, user_id, event_id, event_type, props AS data, ts FROM events)
 """
+_ALL = {"start": FIRST, "end": NOW}
 _IN = f"ts_ns BETWEEN {START} AND {END}"
 
 
@@ -225,22 +264,22 @@ SQL = {
     "filter_time_range": _select(_IN),
     "filter_time_range_pruned": _select(_IN),
     "filter_default_window": _select(f"ts_ns BETWEEN {NOW - 2 * DAY_NS} AND {NOW - DAY_NS}"),
-    "filter_level": _select(f"{_IN} AND level = 4"),
-    "filter_service_ci": _select(f"{_IN} AND lower(service) = 'svc-3'"),
-    "filter_label": _select(f"{_IN} AND lower(env) = 'staging'"),
-    "filter_substring_ci": _select(f"{_IN} AND contains(lower(message), 'error {{')"),
-    "filter_compound": _select(f"{_IN} AND level = 4 AND env = 'prod' AND service = 'svc-2' AND contains(lower(message), 'user 1')"),
+    "filter_level": _select("level = 4"),
+    "filter_service_ci": _select("lower(service) = 'svc-3'"),
+    "filter_label": _select("lower(env) = 'staging'"),
+    "filter_substring_ci": _select("contains(lower(message), 'error {')"),
+    "filter_compound": _select("level = 4 AND env = 'prod' AND service = 'svc-2' AND contains(lower(message), 'user 1')"),
     "filter_text_documents": "SELECT doc_id AS id, source AS service FROM documents WHERE contains(lower(text), 'über')",
-    "project_entry": f"{_E}, f AS (SELECT * FROM e WHERE {_IN} ORDER BY id LIMIT 10000) SELECT CAST(0 AS BIGINT) AS id, ts_ns, level, service, message, data FROM f",
+    "project_entry": _select("true", "CAST(0 AS BIGINT) AS id, ts_ns, level, service, message, data"),
     "project_data_json": f"{_E} SELECT id, data, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM e",
-    "agg_total_hits": _select(f"{_IN} AND level = 2", "count(*) AS total_hits"),
-    "agg_histogram_total": _hist(only_total=True),
-    "agg_histogram_by_level": _hist(),
-    "agg_histogram_zero_fill": _hist("user_id = 17", buckets=120),
+    "agg_total_hits": _select("level = 2", "count(*) AS total_hits"),
+    "agg_histogram_total": _hist(**_ALL, only_total=True),
+    "agg_histogram_by_level": _hist(**_ALL),
+    "agg_histogram_zero_fill": _hist("user_id = 17", **_ALL, buckets=120),
     "agg_histogram_edge": _hist(end=START + 7 * HOUR_NS, buckets=11),
     "agg_histogram_zero_span": _hist(end=START),
     "agg_inverted_range": _hist(start=END, end=START),
-    "agg_histogram_bucket_clamp": _hist(buckets=300),
+    "agg_histogram_bucket_clamp": _hist(**_ALL, buckets=300),
     "agg_chunk_stats": f"{_E} SELECT (id - 1) // {CHUNK} AS chunk, count(*) AS n, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts, CAST(sum(strlen(service) + strlen(message) + strlen(data) + 24) AS BIGINT) AS raw_bytes FROM e GROUP BY 1",
     "agg_raw_bytes": _select("true", "CAST(sum(strlen(service) + strlen(message) + strlen(data) + 24) AS BIGINT) AS raw_bytes"),
     "agg_total_bytes": _select("true", "CAST(sum(strlen(service) + strlen(message) + strlen(data)) AS BIGINT) AS total_bytes"),
@@ -278,6 +317,12 @@ FROM (SELECT DISTINCT request_id, level, limit_n FROM searches)""",
     "syslog_parse_fallback": _frames(
         str(NOW), "'system'", f"'1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z ' || {_HOST} || ' ' || {_APP} || ' user ' || user_id || ' did ' || event_type", "CAST(NULL AS VARCHAR)"
     ),
+    "store_label": _select("env = 'Staging' AND user_id = 17"),
+    "store_service": _select("service = 'svc-3'"),
+    "store_compound": _select(f"{_IN} AND level = 4 AND env = 'prod' AND service = 'svc-2' AND contains(lower(message), 'user 1')"),
+    "store_histogram": _hist(**_ALL),
+    "store_total": _select("true", "CAST(count(*) AS BIGINT) AS n, min(ts_ns) AS first_ts, max(ts_ns) AS last_ts, CAST(sum(strlen(service) + strlen(message) + strlen(data) + 24) AS BIGINT) AS raw_bytes"),
+    "stream_ingest": _select("true", "ts_ns, level, service, message, env"),
     "format_cli_line": f"{_E} SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' [' || rpad({_NAME}, 5, ' ') || '] ' || rpad(service, 16, ' ') || ' ' || message AS line FROM e",
     "ext_topk_newest": _select(_IN, "id, ts_ns, service", "ORDER BY ts_ns DESC, id LIMIT 40"),
     "ext_label_or": _select("user_id IN (17, 18)", "id, service"),

@@ -83,6 +83,8 @@ class LogStore:
 
     def _columns(self, entries: DataFrame) -> DataFrame:
         df = canonical(entries)
+        # Selects on the service read its column, and tags only where a label goes by that name too.
+        df = df.withColumn("service_label", F.coalesce(F.exists(F.map_keys("labels"), lambda k: F.lower(k) == "service"), F.lit(False)))
         for name in self.promoted:
             value = F.filter(F.map_entries("labels"), lambda e: F.lower(e["key"]) == name)  # noqa: B023
             df = df.withColumn(f"lbl_{name}", F.lower(F.try_element_at(value, F.lit(1))["value"]))

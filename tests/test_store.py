@@ -89,6 +89,45 @@ def test_requests():
     assert LogQuery(start_ns=5, end_ns=5).normalise(T0).width_ns == 2_000_000_000 and LogQuery(start_ns=1, end_ns=6, buckets=50).normalise(T0).width_ns == 1
 
 
+def test_requests_of_a_table_are_as_single_ones(spark):
+    from logmill.plans.request import normalised
+    from logmill.queries.tables import table
+    from tests.conftest import SF
+
+    rows = table(spark, SF, "searches").select("request_id", "asked_ns", "start_time", "end_time", "level", "limit_n", "histogram_buckets").distinct()
+    got = {r.request_id: r for r in normalised(rows).collect()}
+    for r in rows.collect():
+        from logmill.functions.levels import parse_level_name
+
+        q = LogQuery(start_ns=r.start_time or 0, end_ns=r.end_time or 0, level=parse_level_name(r.level) if r.level else 0, limit=r.limit_n or 0, buckets=r.histogram_buckets or 0)
+        if r.asked_ns is not None or q.end_ns:
+            q = q.normalise(r.asked_ns)
+            g = got[r.request_id]
+            assert (g.start_ns, g.end_ns, g.level, g.row_limit, g.buckets) == (q.start_ns, q.end_ns, q.level, q.limit, q.buckets)
+
+
+def test_store_queries_are_pruned(spark):
+    """Dates, times, promoted labels and the service reach the scan of the registered queries' store."""
+    from logmill.queries.reference import QUERIES
+    from tests.conftest import SF
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    text = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = text("filter_time_range_pruned")
+    assert "PartitionFilters: [isnotnull(date" in plan and "GreaterThanOrEqual(ts_ns" in plan and "labels" not in plan.split("ReadSchema")[1]
+    assert "EqualTo(lbl_env,staging)" in text("store_label") and "EqualTo(lbl_user,17)" in text("store_label")
+    assert "Or(EqualTo(service_lc,svc-3),EqualTo(service_label,true))" in text("store_service")
+
+
+def test_service_selector_on_a_store(spark, logs, tmp_path):
+    """A label by the name of service counts like the service itself."""
+    rows = [{"id": i, "ts_ns": T0, "level": 2, "service": s, "message": "m", "labels": lb} for i, (s, lb) in enumerate([("A", None), ("b", {"Service": "a"}), ("b", {"x": "a"}), ("a", {"service": "b"}), (None, {"service": "A"}), (None, None)])]
+    store = LogStore(spark, str(tmp_path / "s"))
+    store.append(logs(rows))
+    q = LogQuery(start_ns=T0, end_ns=T0 + 1, labels={"SERVICE": "a"})
+    assert run(store.read(), q, T0).total_hits == 4 and run(canonical(logs(rows)), q, T0).total_hits == 4
+
+
 def test_levels(spark):
     words = [" dbg ", "Trace", "NOTICE", "warning", "err", "panic", "CRIT", "", None, "UNKNOWN"]
     assert [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(parse_level(F.col("w"))).collect()] == [1, 1, 2, 3, 4, 5, 2, 2, 2, 2]
