@@ -13,13 +13,13 @@ from logmill.llm.termcounts import entry_term_counts
 from logmill.queries.tables import table
 
 QUERIES = {
-    "p3_found": lambda s, d: collapse_runs(table(s, d, "logs")),
-    "p3_same_text": lambda s, d: collapse_runs(table(s, d, "logs"), same=lambda message: message),
+    "p3_found": lambda s, d: collapse_runs(table(s, d, "logs", True)),
+    "p3_same_text": lambda s, d: collapse_runs(table(s, d, "logs", True), same=lambda message: message),
     "p4_found": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message")),
     "p4_counts": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message"), "n", "low", "high"),
     "p4_intervals": lambda s, d: frequent_values(table(s, d, "logs"), "message", 0.002).select(F.col("value").alias("message"), "n", F.col("n").between(F.col("low"), F.col("high")).alias("holds"), (F.col("high") - F.col("low") <= EPSILON * F.col("total")).alias("narrow")),
-    "p5_found": lambda s, d: entry_term_counts(table(s, d, "logs")).filter("mark is not null").select("field", "term", "mark"),
-    "p5_terms": lambda s, d: entry_term_counts(table(s, d, "logs")),
+    "p5_found": lambda s, d: entry_term_counts(table(s, d, "logs", True)).filter("mark is not null").select("field", "term", "mark"),
+    "p5_terms": lambda s, d: entry_term_counts(table(s, d, "logs", True)),
     "p7_found": lambda s, d: leaked_items(table(s, d, "documents", True), table(s, d, "eval_items")),
     "p7_items": lambda s, d: leak_report(table(s, d, "documents", True), table(s, d, "eval_items")),
     "p8_found": lambda s, d: Mix(table(s, d, "documents", True), table(s, d, "mix_targets")).report().filter("short").select("source"),
