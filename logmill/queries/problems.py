@@ -21,8 +21,8 @@ def _layouts(spark, d):
 
 
 QUERIES = {
-    "p1_found": lambda s, d: heavy_daily_keys(table(s, d, "logs")),
-    "p1_daily_keys": lambda s, d: daily_keys(table(s, d, "logs")).select("day", "field", "term", "n", "n_error", "day_n"),
+    "p1_found": lambda s, d: heavy_daily_keys(table(s, d, "logs", True)),
+    "p1_daily_keys": lambda s, d: daily_keys(table(s, d, "logs", True)).select("day", "field", "term", "n", "n_error", "day_n"),
     "p2_found": lambda s, d: entries_of_lines(table(s, d, "raw_entries", True)),
     "p2_line_kinds": _layouts,
     "p6_found": lambda s, d: late_cases(table(s, d, "logs")),

@@ -201,7 +201,8 @@ def _decode_strict(lines: DataFrame, column: str) -> DataFrame:
         F.lit(True).alias("ok"), F.coalesce(got["timestamp"], F.lit(0).cast("bigint")).alias("ts_ns"), level.cast("smallint").alias("level"), F.coalesce(got["service"], F.lit("")).alias("service"),
         F.coalesce(got["message"], F.lit("")).alias("message"), got["labels"].alias("labels"), F.lit(None).cast("string").alias("data"),
     )
-    python = F.arrow_udf(_decode_array, _FIELDS)
+    # Called so only to keep filters on the result above it: pushed down, they would compute every step again.
+    python = F.arrow_udf(_decode_array, _FIELDS).asNondeterministic()
     df = df.withColumn("_other", python(F.when(~F.col("_plain") & F.coalesce(F.trim(line) != "", F.lit(False)), line)))
     return df.withColumn("e", F.when(F.col("_plain"), jvm).otherwise(F.col("_other")))
 
