@@ -39,11 +39,11 @@ def parse_level(word: Column) -> Column:
     return F.coalesce(F.try_element_at(codes, F.upper(trim_space(word))), F.lit(INFO)).cast("tinyint")
 
 
-def level_name(level: Column) -> Column:
-    """Upper-case name of a level code; anything outside 1..5, and null, is UNKNOWN."""
-    out = None
+def level_name(level: Column, missing: str | None = NAMES[UNKNOWN]) -> Column:
+    """Upper-case name of a level code; anything outside 1..5 is UNKNOWN, and null is `missing`."""
+    out = F.when(level.isNull(), F.lit(missing).cast("string"))
     for code in range(1, 6):
-        out = (F if out is None else out).when(level == code, F.lit(NAMES[code]))
+        out = out.when(level == code, F.lit(NAMES[code]))
     return out.otherwise(F.lit(NAMES[UNKNOWN]))
 
 

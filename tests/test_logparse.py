@@ -38,7 +38,7 @@ LINES = [
 ]
 OTHER = ["", "   ", None, "}", '  "at": "2022-03-04T05:06:07Z",', '  "level": "warn",', "Traceback (most recent call last):", "\tat c.q.Unit23.run(Unit.java:359)", "unit starting",
          "    00000000  92c0f4644ad45805 8cb7b60c9961937a", "c.q.err.EmptyFault: row 14315", "\twhere seen > '2021-05-06 07:08:09' and k = 4", '{"at": "x"}', "2024-13-45 99:99:99,000 - a - INFO - b", "2024-01-01 00:00:00 it went on to warn us of an error twice",
-         "STATEMENT:  select n", "\x00\x01", '{"ts": "soon", "msg": "x"}', '{"ts": 1, "a": [1, 2', "<14>", "<99999>invalid pri format"]
+         "STATEMENT:  select n", "\x00\x01", '{"ts": "soon", "msg": "x"}', '{"ts": 1, "a": [1, 2', "<14>", "<77777>no such priority"]
 
 
 def test_layouts():

@@ -138,11 +138,11 @@ def test_levels(spark):
 SYSLOG = [
     # raw, level, service, message, host, facility, ts (None: now)
     ("hello", 2, "system", "hello", None, None, None), ("  ", 2, "system", "", None, None, None), ("<14>hello  world", 2, "system", "hello  world", None, "1", None),
-    ("Oct 11 22:14:15 host app: test message", 2, "app", "test message", "host", None, 1728684855 * 10**9), ("<34>Oct 11 22:14:15 host sshd[1]: hi  there", 4, "sshd[1]", "hi there", "host", "4", 1728684855 * 10**9),
-    ("2026-09-19T12:00:00Z host app test message", 2, "app", "test message", "host", None, 1789819200 * 10**9), ("<99999>invalid pri format", 2, "system", "<99999>invalid pri format", None, None, None),
-    ("<abc>text", 2, "system", "text", None, None, None), ("<14>2026-09-19T12:00:00Z", 2, "system", "<14>2026-09-19T12:00:00Z", None, "1", 1789819200 * 10**9),
-    ("Oct 11 22:14:15 host", 2, "system", "", "host", None, 1728684855 * 10**9), ("<14>1 2026-09-19T12:00:00Z h app m", 2, "system", "1 2026-09-19T12:00:00Z h app m", None, "1", None),
-    ("<7>2026-09-19T12:00:00.123456789+02:00 a b", 1, "system", "a b", None, "0", 1789812000123456789), ("feb 29 1:02:03.5 h x y", 2, "system", "x y", "h", None, 1709168523500000000),
+    ("Nov 12 13:14:15 box cron: nightly run", 2, "cron", "nightly run", "box", None, 1731417255 * 10**9), ("<34>Nov 12 13:14:15 host sshd[1]: hi  there", 4, "sshd[1]", "hi there", "host", "4", 1731417255 * 10**9),
+    ("2025-03-04T05:06:07Z box cron nightly run", 2, "cron", "nightly run", "box", None, 1741064767 * 10**9), ("<77777>no such priority", 2, "system", "<77777>no such priority", None, None, None),
+    ("<abc>text", 2, "system", "text", None, None, None), ("<14>2025-03-04T05:06:07Z", 2, "system", "<14>2025-03-04T05:06:07Z", None, "1", 1741064767 * 10**9),
+    ("Nov 12 13:14:15 host", 2, "system", "", "host", None, 1731417255 * 10**9), ("<14>1 2025-03-04T05:06:07Z h app m", 2, "system", "1 2025-03-04T05:06:07Z h app m", None, "1", None),
+    ("<7>2025-03-04T05:06:07.123456789+02:00 a b", 1, "system", "a b", None, "0", 1741057567123456789), ("feb 29 1:02:03.5 h x y", 2, "system", "x y", "h", None, 1709168523500000000),
     ("<4>", 3, "system", "", None, "0", None), ("\u0000" * 8000, 2, "system", "\u0000" * 8000, None, None, None), ("héllo 🎉", 2, "system", "héllo 🎉", None, None, None),
 ]
 
@@ -157,14 +157,14 @@ def test_syslog(spark):
         assert (r.level, r.service, r.message, r.labels.get("host"), r.labels.get("facility"), r.ts_ns) == (level, service, message, host, facility, ts or now), SYSLOG[i]
         assert r.labels["source"] == "syslog" and r.labels["sender"] == "1.2.3.4"
     for pri, level in ((0, 4), (3, 4), (4, 3), (6, 2), (7, 1)):
-        df = spark.createDataFrame([(f"<{pri}>2026-09-19T12:00:00Z myhost myapp test message", "s")], "raw string, sender string")
+        df = spark.createDataFrame([(f"<{pri}>2025-03-04T05:06:07Z box cron nightly run", "s")], "raw string, sender string")
         assert parse_syslog(df, now).first().level == level
 
 
 def test_syslog_corrected(spark):
-    raw = '<165>1 2026-09-19T12:00:00.5Z h app 12 ID7 [a@1 k="v ]"] the message'
+    raw = '<165>1 2025-03-04T05:06:07.5Z h app 12 ID7 [a@1 k="v ]"] the message'
     r = parse_syslog(spark.createDataFrame([(raw, "s")], "raw string, sender string"), T0, "corrected").first()
-    assert (r.service, r.message, r.ts_ns) == ("app", "the message", 1789819200_500_000_000)
+    assert (r.service, r.message, r.ts_ns) == ("app", "the message", 1741064767_500_000_000)
     assert {k: r.labels[k] for k in ("host", "procid", "msgid", "sd")} == {"host": "h", "procid": "12", "msgid": "ID7", "sd": '[a@1 k="v ]"]'}
 
 
