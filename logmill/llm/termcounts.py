@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmill.functions.entries import int_div, label_terms, level_name, service_key
+from logmill.functions.entries import int_div, label_terms, service_key
+from logmill.functions.levels import level_name
 from logmill.session import materialize
 
 #: Identifiers of one range, the length of the arrays that are summed.
@@ -122,7 +123,7 @@ def entry_terms(logs: DataFrame) -> DataFrame:
     tagged = lambda field, c: F.when(c.isNotNull(), F.array(F.concat(F.lit(field + "\u0001"), c))).otherwise(F.array().cast("array<string>"))
     once = logs.select(F.col("id").alias("i"), service_key(F.col("service")).alias("s"), F.col("level").alias("v"), label_terms(F.col("labels")).alias("l")).distinct()
     labels = F.transform("l", lambda t: F.concat(F.lit("label\u0001"), t))
-    return once.select(F.concat(F.array(F.lit("\u0001")), tagged("service", F.col("s")), tagged("level", level_name(F.col("v"))), labels).alias("terms"))
+    return once.select(F.concat(F.array(F.lit("\u0001")), tagged("service", F.col("s")), tagged("level", level_name(F.col("v"), None)), labels).alias("terms"))
 
 
 def entry_term_counts(logs: DataFrame, rare: int = 2, common: float = 0.5) -> DataFrame:
