@@ -14,8 +14,6 @@ TS_END = 2_208_988_800_000_000_000
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
 
-LEVEL_NAMES = {1: "DEBUG", 2: "INFO", 3: "WARN", 4: "ERROR", 5: "FATAL"}
-
 
 def valid_ts(ts: Column) -> Column:
     """True where ts_ns lies in the accepted range; null ts_ns gives null, which a filter drops."""
@@ -42,14 +40,6 @@ def service_key(service: Column) -> Column:
     return F.lower(F.trim(service))
 
 
-def level_name(level: Column) -> Column:
-    """Name of a level code; codes outside 1..5 are UNKNOWN, null stays null."""
-    names = F.array(*[F.lit(LEVEL_NAMES[k]) for k in sorted(LEVEL_NAMES)])
-    return F.when(level.isNull(), F.lit(None).cast("string")).when(
-        level.between(1, 5), F.element_at(names, F.when(level.between(1, 5), level.cast("int")).otherwise(F.lit(1)))
-    ).otherwise(F.lit("UNKNOWN"))
-
-
 def label_terms(labels: Column) -> Column:
     """lower(key)=lower(value) of each pair whose value isn't null; repeated terms stay. Null labels give an empty array."""
     pairs = F.filter(F.map_entries(labels), lambda e: e["value"].isNotNull())
