@@ -113,7 +113,7 @@ def _spans(found: Found) -> list[tuple[str, int, int]]:
 class Parser:
     """Charts are kept of the first `shared` tokens of inputs, most_nodes columns about; neither bounds what is parsed."""
 
-    def __init__(self, grammar: Grammar, captures: frozenset[str], most_nodes: int = 60_000, shared: int = 160):
+    def __init__(self, grammar: Grammar, captures: frozenset[str], most_nodes: int = 60_000, shared: int = 512):
         self.g, self.captures, self.most_nodes, self.shared = grammar, captures, most_nodes, shared
         self.classes = self._classes()
         self.by_left = {n: rules for n, rules in grammar.by_left.items() if n not in self.classes}

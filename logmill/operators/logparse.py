@@ -452,25 +452,38 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     return raw.select("id", "ts_ns", F.element_at("labels", "sender").alias("sender"), "message").mapInArrow(_parse_batches, PARSED_DDL)
 
 
+def _group():
+    return Window.partitionBy("sender", "open", "k")
+
+
+def _fold(pieces: DataFrame) -> DataFrame:
+    """Join the open pieces of each sender and block k, in order of id, to entries and what is left open at the block's ends.
+
+    A piece has the n lines from its id on. One without head joins the piece before it. Left open are the last head, and the
+    lines before the first. Pieces that aren't open stay as they are, in groups of their own.
+    """
+    whole, w = _group(), _group().orderBy("id")
+    seen = pieces.withColumns({
+        "before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(whole), "first": F.row_number().over(w) == 1,
+    }).filter("head or first")
+    ends = seen.withColumns({"till": F.coalesce(F.lead("before").over(w), F.col("all")), "last": F.lead("before").over(w).isNull()})
+    joined = ends.withColumn("n", F.when(F.col("open"), F.col("till") - F.col("before")).otherwise(F.col("n")))
+    return joined.withColumn("open", F.col("open") & (F.col("last") | ~F.col("head"))).drop("before", "all", "first", "till", "last")
+
+
 def assemble(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
     """Entries of parsed lines: first_id, sender, n_lines and the fields of the first line.
 
-    Each (sender, block of ids) is ordered by itself. It keeps its headers with the lines that follow them there, and one
-    row with the lines before its first header. Only these and its last header go on to be matched over blocks.
+    Lines are joined within (sender, block of ids); what stays open at the ends of blocks, two rows of each at most, within
+    blocks of blocks; and what stays open of these in one step for each sender.
     """
-    rows = parsed.withColumn("b", int_div(F.col("id"), block))
-    w = Window.partitionBy("sender", "b").orderBy("id")
-    once = rows.withColumn("p", F.lag("id").over(w)).filter("p is null or p <> id").drop("p")
-    whole = Window.partitionBy("sender", "b")
-    seen = once.withColumn("pos", F.row_number().over(w)).withColumn("size", F.count(F.lit(1)).over(whole)).filter("head or pos = 1")
-    ends = seen.withColumn("till", F.coalesce(F.lead("pos").over(w) - 1, F.col("size"))).withColumn("last", F.lead("id").over(w).isNull())
-    runs = ends.withColumn("n", F.col("till") - F.col("pos") + 1).withColumn("g", F.when(F.col("last") | ~F.col("head"), F.lit(None).cast("bigint")).otherwise(F.col("b")))
-    edge = Window.partitionBy("sender", "g").orderBy("id")
-    owned = runs.withColumn("owner", F.max(F.when(F.col("head"), F.col("id"))).over(edge.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("n").over(Window.partitionBy("sender", "g", "owner"))
-    return owned.withColumn("n_lines", F.when(F.col("g").isNull(), total).otherwise(F.col("n"))).filter("head").select(
-        F.col("id").alias("first_id"), "sender", "n_lines", "ts_us", "level", "component", "message", "unparsed"
-    )
+    at = lambda width: int_div(F.col("id"), width)
+    wider = lambda df, k: df.withColumn("k", F.when(F.col("open"), k).otherwise(at(block)))
+    pieces = parsed.withColumns({"n": F.lit(1).cast("bigint"), "open": F.lit(True), "k": at(block)})
+    once = pieces.withColumn("_p", F.lag("id").over(_group().orderBy("id"))).filter("_p is null or _p <> id").drop("_p")
+    second = _fold(wider(_fold(once), at(block * block)))
+    third = _fold(wider(second, F.lit(0).cast("bigint")))
+    return third.filter("head").select(F.col("id").alias("first_id"), "sender", F.col("n").alias("n_lines"), "ts_us", "level", "component", "message", "unparsed")
 
 
 def entries_of_lines(raw: DataFrame) -> DataFrame:
